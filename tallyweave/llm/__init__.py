@@ -11,6 +11,7 @@ from importlib import import_module
 #: One module for each operator, in the order of their numbers.
 MODULES = (
     "bpe",
+    "quality",
     "html_text",
     "media",
 )
