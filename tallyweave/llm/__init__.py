@@ -12,6 +12,7 @@ from importlib import import_module
 MODULES = (
     "bpe",
     "quality",
+    "language_id",
     "jaccard",
     "html_text",
     "media",
