@@ -4,10 +4,11 @@
 2. Size bands and segment keys (see ``shingles``) deal the classes into tiles.  A
    tile holds the sets that agree on one segment; linked sets share a tile.
    Classes that share tiles, directly or through others, are a family.
-3. Families are taken in blocks of bounded size.  In a block, set sizes and the
-   bits of hashed bitmaps bound the overlap of two sets from above; where the
-   bound suffices, sorted arrays are intersected exactly.  Pairs that are already
-   connected in the block are passed over, for they change no component.
+3. Families are taken in blocks of bounded size.  Set sizes and the bits of hashed
+   bitmaps bound the overlap of two sets from above.  Pairs that the bound lets
+   through make smaller families; only for these are texts read again, and their
+   sorted arrays intersected exactly.  Pairs that are already connected in a block
+   are passed over, for they change no component.
 4. Components of the verified links, and the least id in each.
 
 Defined results: null texts and texts without words have an empty set and link
@@ -48,6 +49,7 @@ _PAIR = np.dtype([("key", np.int64), ("set", np.int64)])
 
 def _gathered(batches, parts: int):
     """Rows of documents, and segment keys with their set's key, dealt into parts."""
+    names = ["part", "blob", "id", "n", "set", "bits"]
     seen: set[int] = set()
     keys, owners, size = [], [], 0
 
@@ -61,7 +63,7 @@ def _gathered(batches, parts: int):
         blobs = [p.tobytes() for p in np.split(pairs, at[1:])]
         none = lambda kind: pa.nulls(len(found), kind)
         return pa.RecordBatch.from_arrays(
-            [pa.array(found.astype(np.int32)), pa.array(blobs, pa.binary()), none(id_type), none(pa.int64()), none(pa.int64())], ["part", "blob", "id", "n", "set"]
+            [pa.array(found.astype(np.int32)), pa.array(blobs, pa.binary()), none(id_type), none(pa.int64()), none(pa.int64()), none(pa.binary())], names
         )
 
     id_type = pa.int64()
@@ -83,8 +85,10 @@ def _gathered(batches, parts: int):
             owners.append(own[new][of])
             size += len(segments)
             part = np.arange(len(n), dtype=np.int64) % parts
+            # A set's bits go along with the first of its copies in this task.
+            bits = [row.tobytes() if x else None for row, x in zip(bitmaps(hashes, at), new)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part.astype(np.int32)), pa.nulls(len(n), pa.binary()), piece.column(0), pa.array(n), pa.array(own)], ["part", "blob", "id", "n", "set"]
+                [pa.array(part.astype(np.int32)), pa.nulls(len(n), pa.binary()), piece.column(0), pa.array(n), pa.array(own), pa.array(bits, pa.binary())], names
             )
             if size >= GATHERED:
                 yield deal()
@@ -105,6 +109,7 @@ def _stars(pairs: np.ndarray) -> np.ndarray:
 
 def _tiles(batches):
     """Documents pass; segment keys of a part become edges between sets."""
+    names = ["id", "n", "set", "bits", "a", "b"]
     held: dict[int, list[bytes]] = {}
     id_type = pa.int64()
     for batch in batches:
@@ -112,7 +117,7 @@ def _tiles(batches):
         docs = batch.filter(pa.compute.is_null(batch.column(1)))
         if docs.num_rows:
             none = pa.nulls(docs.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([docs.column(2), docs.column(3), docs.column(4), none, none], ["id", "n", "set", "a", "b"])
+            yield pa.RecordBatch.from_arrays([*docs.columns[2:], none, none], names)
         for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if blob is not None:
                 held.setdefault(part, []).append(blob)
@@ -120,18 +125,18 @@ def _tiles(batches):
         edges = _stars(np.frombuffer(b"".join(held.pop(part)), _PAIR))
         if len(edges):
             none = pa.nulls(len(edges), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(edges), id_type), none, none, pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], ["id", "n", "set", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(edges), id_type), none, none, pa.nulls(len(edges), pa.binary()), pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names)
 
 
 def _tokenised(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``id, n, set`` of every document, and ``a, b`` of sets that share a tile."""
+    """``id, n, set, bits`` of every document, and ``a, b`` of sets that share a tile."""
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.dtypes)["id"]
-    gathered = docs.mapInArrow(lambda batches: _gathered(batches, parts), f"part int, blob binary, id {kind}, n long, set long")
+    gathered = docs.mapInArrow(lambda batches: _gathered(batches, parts), f"part int, blob binary, id {kind}, n long, set long, bits binary")
     dealt = gathered.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
-    out = written(dealt.mapInArrow(_tiles, f"id {kind}, n long, set long, a long, b long"), "jaccard-tiles")
-    return out.where("n IS NOT NULL").select("id", "n", "set"), out.where("a IS NOT NULL").select("a", "b").distinct()
+    out = written(dealt.mapInArrow(_tiles, f"id {kind}, n long, set long, bits binary, a long, b long"), "jaccard-tiles")
+    return out.where("n IS NOT NULL").select("id", "n", "set", "bits"), out.where("a IS NOT NULL").select("a", "b").distinct()
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
@@ -146,7 +151,7 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """``set`` and its sorted ``hashes``, as bytes, of the documents that the filter lets through."""
+    """``set, n, bits`` and sorted ``hashes``, as bytes, of the documents that the filter lets through."""
 
     def run(batches):
         for batch in batches:
@@ -155,9 +160,10 @@ def _sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             for piece in grouped_by_bytes([batch], 1, BATCH_BYTES):
                 hashes, ends = sets_of(*text_bytes(piece.column(1)))
                 raw = [hashes[x:y].tobytes() for x, y in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(set_keys(hashes, ends)), pa.array(raw, pa.binary())], ["set", "hashes"])
+                signs = [row.tobytes() for row in bitmaps(hashes, ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(hashes, ends)), pa.array(np.diff(ends)), pa.array(signs, pa.binary()), pa.array(raw, pa.binary())], ["set", "n", "bits", "hashes"])
 
-    return docs.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))).mapInArrow(run, "set long, hashes binary")
+    return docs.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))).mapInArrow(run, "set long, n long, bits binary, hashes binary")
 
 
 class _Joined:
@@ -171,77 +177,73 @@ class _Joined:
         self.of[self.of == max(x, y)] = min(x, y)
 
 
-def links(hashes: list[np.ndarray], across: int | None = None) -> list[tuple[int, int]]:
+def links(sizes: np.ndarray, bits: np.ndarray, hashes: list[np.ndarray] | None = None, across: int | None = None) -> list[tuple[int, int]]:
     """Pairs of places whose sets link, as many as connect all that links connect.
 
+    Without ``hashes``: pairs that may link, by their sizes and bits.
     ``across``: only pairs between places before and from it on.
     """
-    n = len(hashes)
-    sizes = np.array([len(h) for h in hashes])
-    bits = bitmaps(np.concatenate(hashes), np.r_[0, np.cumsum(sizes)])
+    n = len(sizes)
     joined, found = _Joined(n), []
+    common = lambda i, j: len(np.intersect1d(hashes[i], hashes[j], assume_unique=True))
     for i in range(n if across is None else across):
-        while True:
-            rest = np.arange(i + 1 if across is None else across, n)
-            rest = rest[(joined.of[rest] != joined.of[i]) & (np.minimum(sizes[rest], sizes[i]) * 100 >= PERCENT * np.maximum(sizes[rest], sizes[i]))]
-            if len(rest):
-                rest = rest[enough(overlap_bound(bits[i], sizes[i], bits[rest], sizes[rest]), sizes[i], sizes[rest])]
-            hit = next((j for j in rest.tolist() if enough(len(np.intersect1d(hashes[i], hashes[j], assume_unique=True)), sizes[i], sizes[j])), None)
-            if hit is None:
-                break
-            found.append((i, hit))
-            joined.unite(i, hit)
-            if not len(rest) > 1:
-                break
+        rest = np.arange(i + 1 if across is None else across, n)
+        rest = rest[np.minimum(sizes[rest], sizes[i]) * 100 >= PERCENT * np.maximum(sizes[rest], sizes[i])]
+        rest = rest[joined.of[rest] != joined.of[i]]
+        if len(rest):
+            rest = rest[enough(overlap_bound(bits[i], sizes[i], bits[rest], sizes[rest]), sizes[i], sizes[rest])]
+        for j in rest.tolist():
+            if joined.of[i] != joined.of[j] and (hashes is None or enough(common(i, j), sizes[i], sizes[j])):
+                found.append((i, j))
+                joined.unite(i, j)
     return found
 
 
-def _verified(batches):
-    """Links within blocks; rows come sorted by block."""
-    now, sets, raw, sides = None, [], [], []
+def _connected(batches):
+    """Links within blocks; rows ``family, i, j, side, set, n, bits, hashes`` come sorted by block."""
+    now, rows = None, []
 
     def emit():
-        order = np.argsort(sides, kind="stable")
-        own = [np.frombuffer(raw[k], np.uint64) for k in order]
-        across = sides.count(0) if 1 in sides else None
-        pairs = links(own, across)
+        rows.sort(key=lambda r: r[0])
+        sides = [r[0] for r in rows]
+        bits = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
+        hashes = None if rows[0][4] is None else [np.frombuffer(r[4], np.uint64) for r in rows]
+        pairs = links(np.array([r[2] for r in rows]), bits, hashes, sides.count(0) if 1 in sides else None)
         if pairs:
-            a, b = ([sets[order[p[k]]] for p in pairs] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([rows[p[k]][1] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     for batch in batches:
-        for family, i, j, side, key, h in zip(*(batch.column(k).to_pylist() for k in range(6))):
+        for family, i, j, *row in zip(*(column.to_pylist() for column in batch.columns)):
             if (family, i, j) != now:
-                if len(sets) > 1:
+                if len(rows) > 1:
                     yield from emit()
-                now, sets, raw, sides = (family, i, j), [], [], []
-            sets.append(key)
-            raw.append(h)
-            sides.append(side)
-    if len(sets) > 1:
+                now, rows = (family, i, j), []
+            rows.append(row)
+    if len(rows) > 1:
         yield from emit()
 
 
 def _linked(sets: DataFrame, families: DataFrame) -> DataFrame:
-    """Verified links ``a, b`` of sets; families of more than BLOCK sets are dealt into pairs of blocks."""
+    """Links ``a, b`` of sets within families; families of more than BLOCK sets are dealt into pairs of blocks."""
     spark = sets.sparkSession
     sizes = families.groupBy("label").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("label", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     member = families.join(sizes, "label", "left").withColumn("own", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = member.select(F.col("node").alias("set"), F.col("label").alias("family"), "own", F.explode(others).alias("other"))
     dealt = dealt.select("set", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
-    rows = sets.join(dealt, "set").select("family", "i", "j", "side", "set", "hashes")
+    rows = sets.join(dealt, "set").select("family", "i", "j", "side", "set", "n", "bits", "hashes")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_verified, "a long, b long")
+    return rows.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_connected, "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_shingles`` and ``component_id`` of every row."""
     rows = spread(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body")))
     known, shared = _tokenised(rows)
-    families = components(shared)
-    chosen = known.join(families.select(F.col("node").alias("set")), "set").where("n > 0").groupBy("set").agg(F.min("id").alias("id"))
-    sets = _sets(rows, _filter_of(written(chosen, "jaccard-chosen").select("id"))).dropDuplicates(["set"])
+    signed = known.where("bits IS NOT NULL").dropDuplicates(["set"]).select("set", "n", "bits", F.lit(None).cast("binary").alias("hashes"))
+    families = components(written(_linked(signed, components(shared)), "jaccard-bounded"))
+    chosen = written(known.where("bits IS NOT NULL").join(families.select(F.col("node").alias("set")), "set").groupBy("set").agg(F.min("id").alias("id")), "jaccard-chosen")
+    sets = _sets(rows, _filter_of(chosen.select("id"))).dropDuplicates(["set"])
     joined = components(written(_linked(sets, families), "jaccard-links"))
     classes = known.where("n > 0").groupBy("set").agg(F.min("id").alias("least"))
     group = classes.join(joined.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))

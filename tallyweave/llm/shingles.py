@@ -24,7 +24,7 @@ from .hashing import mix, shingle_hashes, span_hashes, word_spans
 WORDS, PERCENT = 5, 80
 
 #: Bits of a set's bitmap.
-BITS = 1024
+BITS = 2048
 
 
 def sets_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
