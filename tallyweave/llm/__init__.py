@@ -14,6 +14,7 @@ MODULES = (
     "quality",
     "language_id",
     "jaccard",
+    "toxicity",
     "html_text",
     "media",
 )
