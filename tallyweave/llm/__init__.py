@@ -12,6 +12,7 @@ from importlib import import_module
 MODULES = (
     "bpe",
     "quality",
+    "decontamination",
     "language_id",
     "jaccard",
     "toxicity",
