@@ -17,6 +17,7 @@ MODULES = (
     "jaccard",
     "toxicity",
     "html_text",
+    "token_shards",
     "media",
 )
 
