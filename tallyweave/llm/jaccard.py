@@ -9,7 +9,7 @@
    through make smaller families; only for these are texts read again, and their
    sorted arrays intersected exactly.  Pairs that are already connected in a block
    are passed over, for they change no component.
-4. Components of the verified links, and the least id in each.
+5. Components of the verified links, and the least id in each.
 
 Defined results: null texts and texts without words have an empty set and link
 with nothing, each is its own component.  Texts of one to four words have one
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import grouped_by_bytes, spread, table, text_bytes, written
 from .components import components
+from .hashing import mix
 from .shingles import PERCENT, bitmaps, enough, overlap_bound, segment_keys, set_keys, sets_of
 
 #: Bytes of text that a worker takes at a time.
@@ -35,7 +36,7 @@ BATCH_BYTES = 1 << 20
 #: Segment keys that a task gathers before it deals them out.
 GATHERED = 1 << 20
 
-#: Sets in a block of a family.
+#: Sets in a block of a tile or family.
 BLOCK = 1024
 
 #: Keys of classes that a task remembers, to deal out the segments of equal sets once.
@@ -97,19 +98,25 @@ def _gathered(batches, parts: int):
         yield deal()
 
 
-def _stars(pairs: np.ndarray) -> np.ndarray:
-    """Of sets that share segment keys, each with the least of its tile: distinct (least, other)."""
-    pairs = pairs[np.lexsort((pairs["set"], pairs["key"]))]
-    key, own = pairs["key"], pairs["set"]
+def _shared(pairs: np.ndarray) -> np.ndarray:
+    """Tiles of two or more sets, each named by a hash of its sets: rows (tile, set), tiles of the same sets once."""
+    order = np.lexsort((pairs["set"], pairs["key"]))
+    key, own = pairs["key"][order], pairs["set"][order]
+    first = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]
+    key, own = key[first], own[first]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    least = np.repeat(own[starts], np.diff(np.r_[starts, len(own)]))
-    edges = np.column_stack((least, own))[least != own]
-    return np.unique(edges, axis=0) if len(edges) else edges
+    count = np.diff(np.r_[starts, len(own)])
+    name = mix(np.add.reduceat(mix(own.view(np.uint64)), starts) + count.astype(np.uint64)).view(np.int64)
+    some = np.flatnonzero(count > 1)
+    some = some[np.unique(name[some], return_index=True)[1]]
+    count = count[some]
+    place = np.repeat(starts[some] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    return np.column_stack((np.repeat(name[some], count), own[place]))
 
 
 def _tiles(batches):
-    """Documents pass; segment keys of a part become edges between sets."""
-    names = ["id", "n", "set", "bits", "a", "b"]
+    """Documents pass; segment keys of a part become tiles."""
+    names = ["id", "n", "set", "bits", "label", "node"]
     held: dict[int, list[bytes]] = {}
     id_type = pa.int64()
     for batch in batches:
@@ -122,21 +129,21 @@ def _tiles(batches):
             if blob is not None:
                 held.setdefault(part, []).append(blob)
     for part in list(held):
-        edges = _stars(np.frombuffer(b"".join(held.pop(part)), _PAIR))
-        if len(edges):
-            none = pa.nulls(len(edges), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(edges), id_type), none, none, pa.nulls(len(edges), pa.binary()), pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names)
+        rows = _shared(np.frombuffer(b"".join(held.pop(part)), _PAIR))
+        if len(rows):
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), id_type), none, none, pa.nulls(len(rows), pa.binary()), pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy())], names)
 
 
 def _tokenised(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``id, n, set, bits`` of every document, and ``a, b`` of sets that share a tile."""
+    """``id, n, set, bits`` of every document, and ``label, node`` of tiles and their sets."""
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.dtypes)["id"]
     gathered = docs.mapInArrow(lambda batches: _gathered(batches, parts), f"part int, blob binary, id {kind}, n long, set long, bits binary")
     dealt = gathered.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
-    out = written(dealt.mapInArrow(_tiles, f"id {kind}, n long, set long, bits binary, a long, b long"), "jaccard-tiles")
-    return out.where("n IS NOT NULL").select("id", "n", "set", "bits"), out.where("a IS NOT NULL").select("a", "b").distinct()
+    out = written(dealt.mapInArrow(_tiles, f"id {kind}, n long, set long, bits binary, label long, node long"), "jaccard-tiles")
+    return out.where("n IS NOT NULL").select("id", "n", "set", "bits"), out.where("label IS NOT NULL").select("label", "node").distinct()
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
@@ -224,7 +231,7 @@ def _connected(batches):
 
 
 def _linked(sets: DataFrame, families: DataFrame) -> DataFrame:
-    """Links ``a, b`` of sets within families; families of more than BLOCK sets are dealt into pairs of blocks."""
+    """Links ``a, b`` of sets within tiles or families; those of more than BLOCK sets are dealt into pairs of blocks."""
     spark = sets.sparkSession
     sizes = families.groupBy("label").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("label", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     member = families.join(sizes, "label", "left").withColumn("own", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
@@ -239,9 +246,9 @@ def _linked(sets: DataFrame, families: DataFrame) -> DataFrame:
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_shingles`` and ``component_id`` of every row."""
     rows = spread(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body")))
-    known, shared = _tokenised(rows)
+    known, tiles = _tokenised(rows)
     signed = known.where("bits IS NOT NULL").dropDuplicates(["set"]).select("set", "n", "bits", F.lit(None).cast("binary").alias("hashes"))
-    families = components(written(_linked(signed, components(shared)), "jaccard-bounded"))
+    families = components(written(_linked(signed, tiles), "jaccard-bounded"))
     chosen = written(known.where("bits IS NOT NULL").join(families.select(F.col("node").alias("set")), "set").groupBy("set").agg(F.min("id").alias("id")), "jaccard-chosen")
     sets = _sets(rows, _filter_of(chosen.select("id"))).dropDuplicates(["set"])
     joined = components(written(_linked(sets, families), "jaccard-links"))

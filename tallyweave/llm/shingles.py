@@ -24,7 +24,7 @@ from .hashing import mix, shingle_hashes, span_hashes, word_spans
 WORDS, PERCENT = 5, 80
 
 #: Bits of a set's bitmap.
-BITS = 2048
+BITS = 1024
 
 
 def sets_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +51,7 @@ def set_keys(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def bands() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least size, differences k and segments n of each band."""
+    """Least size, differences k (-1 for none) and segments n of each band."""
     low, k, n = [], [], []
     lo = 1
     while lo < 2**40:
@@ -60,19 +60,22 @@ def bands() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         segments = most + 1
         while True:
             empty = segments * np.exp(-lo / segments)
-            more = most + 1 + int(np.ceil(empty + 4 * np.sqrt(empty)))
+            more = most + 1 + int(np.ceil(empty + 3 * np.sqrt(empty)))
             if more <= segments or segments > 2 * most + 8:
                 break
             segments = more
         low.append(lo)
-        k.append(most)
+        k.append(most if most else -1)
         n.append(segments)
         lo = hi + 1
     return np.array(low), np.array(k), np.array(n)
 
 
 def segment_keys(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All segment keys of all sets, for each set's band and the band below, and their sets."""
+    """All segment keys of all sets, for each set's band and the band below, and their sets.
+
+    Bands whose linked sets can only be equal have no keys.
+    """
     low, most, segments = bands()
     sizes = np.diff(at)
     own = np.searchsorted(low, sizes, side="right") - 1
@@ -82,7 +85,7 @@ def segment_keys(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
     for below in (0, 1):
         band = own - below
         # A set has partners in the band below if any size that it may link with lies there.
-        use = (sizes > 0) & (band >= 0)
+        use = (sizes > 0) & (band >= 0) & (most[np.maximum(band, 0)] >= 0)
         if below:
             use &= (sizes * PERCENT + 99) // 100 < low[np.maximum(own, 0)]
         rows = np.flatnonzero(use)
