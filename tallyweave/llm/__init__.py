@@ -14,6 +14,7 @@ MODULES = (
     "quality",
     "decontamination",
     "language_id",
+    "language_model",
     "jaccard",
     "toxicity",
     "html_text",
