@@ -21,8 +21,9 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import grouped_by_bytes, spread, table
 
@@ -198,7 +199,7 @@ def bpe_encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col
     ``path``: the tokenizer file, present on every executor.
     """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
-    schema = f"id {dict(rows.dtypes)['id']}, ids array<int>" + ", decoded string" * decoded
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * decoded)
 
     def run(batches):
         own = codec(path)
@@ -214,15 +215,19 @@ def bpe_encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids and decoded text of all documents, as digests."""
-    out = bpe_encode_decode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), default_path())
-    return out.select(
-        "doc_id",
+def digests() -> list[Column]:
+    """``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of the columns ``ids`` and ``decoded``."""
+    return [
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    ]
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of all documents, as digests."""
+    out = bpe_encode_decode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), default_path())
+    return out.select("doc_id", *digests())
 
 
 QUERIES = {"op1_bpe": op1_bpe}

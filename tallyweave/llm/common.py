@@ -77,6 +77,21 @@ def grouped_by_bytes(batches, column: int, most: int):
             at = end
 
 
+def filter_texts(df: DataFrame, text_col: str, keep, most: int = 1 << 20) -> DataFrame:
+    """The rows, with all their columns, of which ``keep`` says so.
+
+    ``keep``: from an Arrow array of texts to an array of truth values.  Rows stay
+    where they are, so nothing is shuffled.
+    """
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for batch in grouped_by_bytes(batches, at, most):
+            yield batch.filter(pa.array(np.asarray(keep(batch.column(at)), bool)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def offsets(column: pa.Array) -> np.ndarray:
     """Byte offsets of a string or binary column, from its own start on."""
     kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32

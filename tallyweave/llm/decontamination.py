@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import grouped_by_bytes, spread, table
+from .common import filter_texts, grouped_by_bytes, spread, table
 
 #: Bytes of a q-gram, edits for each byte of an item, least bytes of an item.
 Q, EDITS, LEAST = 10, 0.08, 20
@@ -208,6 +208,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that contain no item."""
+    for index in indexes(benchmark, item_col, item_text_col):
+        held = docs.sparkSession.sparkContext.broadcast(index)
+
+        def keep(texts, held=held):
+            clean = np.ones(len(texts), bool)
+            clean[[hit[0] for hit in search([normal(t or "") for t in texts.to_pylist()], held.value)]] = False
+            return clean
+
+        docs = filter_texts(docs, text_col, keep, BATCH_BYTES)
+    return docs
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in all documents."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import grouped_by_bytes, spread, table, text_bytes, written
 from .components import components
@@ -243,24 +244,73 @@ def _linked(sets: DataFrame, families: DataFrame) -> DataFrame:
     return rows.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_connected, "a long, b long")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n_shingles`` and ``component_id`` of every row."""
-    rows = spread(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body")))
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return spread(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body")))
+
+
+def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, n, set`` of every document; ``set, least, label`` of every set that is not empty: its least id and its component."""
     known, tiles = _tokenised(rows)
     signed = known.where("bits IS NOT NULL").dropDuplicates(["set"]).select("set", "n", "bits", F.lit(None).cast("binary").alias("hashes"))
     families = components(written(_linked(signed, tiles), "jaccard-bounded"))
     chosen = written(known.where("bits IS NOT NULL").join(families.select(F.col("node").alias("set")), "set").groupBy("set").agg(F.min("id").alias("id")), "jaccard-chosen")
     sets = _sets(rows, _filter_of(chosen.select("id"))).dropDuplicates(["set"])
     joined = components(written(_linked(sets, families), "jaccard-links"))
+    known = known.select("id", "n", "set")
     classes = known.where("n > 0").groupBy("set").agg(F.min("id").alias("least"))
-    group = classes.join(joined.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-    least = group.groupBy("label").agg(F.min("least").alias("component_id"))
-    component = group.join(least, "label").select("set", "component_id")
-    # Sets are many and their copies may be a third of all rows: the small side is split with them by AQE.
+    return known, classes.join(joined.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, ``n_shingles`` and ``component_id`` of every row."""
+    known, group = _groups(_rows(docs, id_col, text_col))
+    component = group.join(group.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("set", "component_id")
+    # Copies may be a third of all rows; AQE splits their side of this join.
     out = known.join(component, "set", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, of which one stays of each component: the one with the least id.
+
+    Rows with an empty set all stay.  Of rows with equal id and set one stays; of
+    a component without ids, one.  Only rows whose id may be that of a row to go
+    are joined; a filter of fixed size lets all others pass where they are.
+    """
+    rows = _rows(docs, id_col, text_col)
+    known, group = _groups(rows)
+    first = known.join(group, "set").groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "set")).alias("k")).select(F.col("k.id").alias("id"), F.col("k.set").alias("set"))
+    stays = written(first, "jaccard-stays")
+    counted = known.where("n > 0").groupBy("id", "set").agg(F.count("*").alias("c"))
+    other = (F.col("s.set").isNull()) | (F.col("c") > 1)
+    goes = counted.alias("k").join(stays.alias("s"), F.expr("k.id <=> s.id AND k.set = s.set"), "left").where(other).select("k.id").distinct()
+    bits = _filter_of(written(goes, "jaccard-goes"))
+    at = docs.columns.index(text_col)
+    place = len(docs.columns)
+
+    def split(hit: bool):
+        def run(batches):
+            for batch in batches:
+                p = np.asarray(batch.column(place))
+                batch = batch.filter(pa.array((bits[p >> 3] >> (p & 7).astype(np.uint8) & 1 == 1) == hit))
+                if not hit:
+                    yield batch.select(range(place))
+                    continue
+                for piece in grouped_by_bytes([batch], at, BATCH_BYTES):
+                    hashes, ends = sets_of(*text_bytes(piece.column(at)))
+                    yield pa.RecordBatch.from_arrays([*piece.columns[:place], pa.array(set_keys(hashes, ends)), pa.array(np.diff(ends))], names=[*piece.schema.names[:place], "_set", "_n"])
+
+        return run
+
+    marked = docs.withColumn("_place", F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS)))
+    passed = marked.mapInArrow(split(False), docs.schema)
+    held = marked.mapInArrow(split(True), T.StructType([*docs.schema.fields, T.StructField("_set", T.LongType()), T.StructField("_n", T.LongType())]))
+    alone = held.where("_n = 0").drop("_set", "_n")
+    one = held.where("_n > 0").dropDuplicates([id_col, "_set"])
+    kept = one.join(stays.select(F.col("id").alias("_id"), F.col("set").alias("_set2")), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_set") == F.col("_set2")), "left_semi")
+    return passed.unionByName(alone).unionByName(kept.drop("_set", "_n"))
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, grouped_by_bytes, spread, table, text_bytes
+from .common import filter_texts, fold, grouped_by_bytes, spread, table, text_bytes
 from .gru import Adam, backward, forward, glorot, softmax
 
 #: Documents of each language that are learned from, at most, and windows of each of them.
@@ -39,6 +39,9 @@ STEPS, BATCH, RATE = 400, 192, 0.02
 #: Windows that a worker takes at a time; bytes of text that it takes from Arrow at a time.
 AT_ONCE, BATCH_BYTES = 2048, 1 << 20
 
+#: Score below which a filter takes a text to be in no language.
+ACCEPTED = 0.3
+
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -167,6 +170,17 @@ def fit_language(docs: DataFrame, learn: Column, text_col: str = "text", lang_co
     return train(windows, got["size"].to_numpy(), got["lang"].map(names.index).to_numpy(), names)
 
 
+def predict(texts: pa.Array, model: LanguageModel) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    found = np.array([bool(t and _LETTER.search(t)) for t in texts.to_pylist()], bool)
+    if not model.names:
+        return [UNKNOWN] * len(found), np.zeros(len(found))
+    probs = model.documents(*text_bytes(texts))
+    best = probs.argmax(1)
+    names = [model.names[k] if x else UNKNOWN for k, x in zip(best, found)]
+    return names, np.where(found, np.clip(probs[np.arange(len(best)), best], 0, 1), 0.0)
+
+
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``lang_pred`` and ``score`` of every row; all bytes of every text are read."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
@@ -174,19 +188,22 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     def run(batches):
         for batch in grouped_by_bytes(batches, 1, BATCH_BYTES):
-            texts = batch.column(1).to_pylist()
-            found = np.array([bool(t and _LETTER.search(t)) for t in texts], bool)
-            if not model.names:
-                found[:] = False
-            probs = model.documents(*text_bytes(batch.column(1))) if model.names else np.zeros((len(texts), 1))
-            best = probs.argmax(1)
-            names = [model.names[k] if x else UNKNOWN for k, x in zip(best, found)]
-            score = np.where(found, np.clip(probs[np.arange(len(best)), best], 0, 1), 0.0)
+            names, score = predict(batch.column(1), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def keep_language(docs: DataFrame, model: LanguageModel, least: float = ACCEPTED, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is known with a score of ``least`` or more."""
+
+    def keep(texts):
+        names, score = predict(texts, model)
+        return np.array([n != UNKNOWN for n in names], bool) & (score >= least)
+
+    return filter_texts(docs, text_col, keep, BATCH_BYTES)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, grouped_by_bytes, spread, table, text_bytes, written
+from .common import filter_texts, fold, grouped_by_bytes, spread, table, text_bytes, written
 from .hashing import span_hashes, word_spans
 
 #: Random Fourier features, ridge weight for each training row, and bins of the calibration.
@@ -229,21 +229,27 @@ def score_quality(stats: DataFrame, model: QualityModel, id_col: str = "doc_id")
     return stats.select(F.col(id_col).alias("id"), "x").mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
-def quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """``id_col`` and ``score`` of every row of ``docs``.
+def learned(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[QualityModel, DataFrame]:
+    """A model, and the statistics of all rows of ``docs``.
 
     Learns from labels of the rows where ``learn`` holds, an expression over the id.
     """
     stats = written(document_statistics(spread(docs.select(id_col, text_col)), id_col, text_col), "quality-statistics")
     known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1))
     rows = stats.where(learn).join(known, id_col).select("x", "y", F.pmod(F.xxhash64(id_col), F.lit(CALIBRATES)).alias("part"))
-    return score_quality(stats, fit_quality(written(rows, "quality-training")), id_col)
+    return fit_quality(written(rows, "quality-training")), stats
+
+
+def keep_quality(docs: DataFrame, model: QualityModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that score ``least`` or more."""
+    return filter_texts(docs, text_col, lambda texts: model.score(statistics(*text_bytes(texts))) >= least, BATCH_BYTES)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents."""
     held = fold("doc_id", 3) == 1
-    out = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held)
+    model, stats = learned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held)
+    out = score_quality(stats, model)
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
