@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import grouped_by_bytes, spread, table, text_bytes, written
 from .components import components
 from .hashing import mix
-from .shingles import PERCENT, bitmaps, enough, overlap_bound, segment_keys, set_keys, sets_of
+from .shingles import PERCENT, bitmaps, enough, folded, overlap_bound, segment_keys, set_keys, sets_of
 
 #: Bytes of text that a worker takes at a time.
 BATCH_BYTES = 1 << 20
@@ -88,7 +88,7 @@ def _gathered(batches, parts: int):
             size += len(segments)
             part = np.arange(len(n), dtype=np.int64) % parts
             # A set's bits go along with the first of its copies in this task.
-            bits = [row.tobytes() if x else None for row, x in zip(bitmaps(hashes, at), new)]
+            bits = [row if x else None for row, x in zip(bitmaps(hashes, at), new)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part.astype(np.int32)), pa.nulls(len(n), pa.binary()), piece.column(0), pa.array(n), pa.array(own), pa.array(bits, pa.binary())], names
             )
@@ -168,7 +168,7 @@ def _sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             for piece in grouped_by_bytes([batch], 1, BATCH_BYTES):
                 hashes, ends = sets_of(*text_bytes(piece.column(1)))
                 raw = [hashes[x:y].tobytes() for x, y in zip(ends, ends[1:])]
-                signs = [row.tobytes() for row in bitmaps(hashes, ends)]
+                signs = bitmaps(hashes, ends)
                 yield pa.RecordBatch.from_arrays([pa.array(set_keys(hashes, ends)), pa.array(np.diff(ends)), pa.array(signs, pa.binary()), pa.array(raw, pa.binary())], ["set", "n", "bits", "hashes"])
 
     return docs.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))).mapInArrow(run, "set long, n long, bits binary, hashes binary")
@@ -214,7 +214,7 @@ def _connected(batches):
     def emit():
         rows.sort(key=lambda r: r[0])
         sides = [r[0] for r in rows]
-        bits = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
+        bits = folded([r[3] for r in rows])
         hashes = None if rows[0][4] is None else [np.frombuffer(r[4], np.uint64) for r in rows]
         pairs = links(np.array([r[2] for r in rows]), bits, hashes, sides.count(0) if 1 in sides else None)
         if pairs:

@@ -23,8 +23,8 @@ from .hashing import mix, shingle_hashes, span_hashes, word_spans
 #: Words of a shingle; least similarity in hundredths.
 WORDS, PERCENT = 5, 80
 
-#: Bits of a set's bitmap.
-BITS = 1024
+#: Bits of a set's bitmap: the power of two that is so many times its size or more, and so many at least.
+BITS, LEAST_BITS = 2, 256
 
 
 def sets_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,13 +113,22 @@ def segment_keys(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(keys).view(np.int64), np.concatenate(owners)
 
 
-def bitmaps(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A bitmap of BITS bits for each set: (sets, BITS / 64) of 64-bit numbers."""
-    n = len(at) - 1
-    bit = (hashes & np.uint64(BITS - 1)).astype(np.int64)
-    out = np.zeros(n * BITS, np.uint8)
-    out[np.repeat(np.arange(n), np.diff(at)) * BITS + bit] = 1
-    return np.packbits(out.reshape(n, BITS), axis=1, bitorder="little").view(np.uint64)
+def bitmaps(hashes: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A bitmap for each set; a larger set has a longer one."""
+    sizes = np.diff(at)
+    width = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(BITS * sizes, 1))).astype(np.int64))
+    base = np.r_[0, np.cumsum(width)]
+    out = np.zeros(base[-1], np.uint8)
+    out[np.repeat(base[:-1], sizes) + (hashes & (np.repeat(width, sizes) - 1).astype(np.uint64)).astype(np.int64)] = 1
+    packed = np.packbits(out, bitorder="little").tobytes()
+    ends = (base // 8).tolist()
+    return [packed[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def folded(raw: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of 64-bit numbers, the longer ones folded to the shortest one's length."""
+    width = min(map(len, raw)) // 8
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, width), axis=0) for b in raw])
 
 
 def overlap_bound(one: np.ndarray, size: int, many: np.ndarray, sizes: np.ndarray) -> np.ndarray:
