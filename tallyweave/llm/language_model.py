@@ -284,7 +284,7 @@ def _unlisted(listing: Listing, parts: int):
     """Counts of training words that are not listed, and each text's own such words, once for each task."""
 
     def run(batches):
-        words, asks, size, seen = [], [], 0, set()
+        words, asks, times, size, seen = [], [], [], 0, set()
 
         def deal():
             found, count = np.unique(np.concatenate(words), return_counts=True)
@@ -293,6 +293,8 @@ def _unlisted(listing: Listing, parts: int):
             yield _dealt(0, rows, found, parts)
             rows = np.concatenate(asks)
             yield _dealt(1, rows, rows["word"], parts)
+            rows = np.concatenate(times)
+            yield _dealt(2, rows, rows["text"], parts)
 
         for batch in grouped_by_bytes(batches, 1, BATCH_BYTES):
             raw, at = text_bytes(batch.column(1))
@@ -314,13 +316,12 @@ def _unlisted(listing: Listing, parts: int):
             asks.append(rows)
             # Tells how often a text is asked for: once for each task that holds it.
             size += len(hashes)
-            times = np.zeros(int(new.sum()), _SUM)
-            times["text"], times["times"] = keys[new], 1
-            if len(times):
-                yield _dealt(2, times, keys[new], parts)
+            rows = np.zeros(int(new.sum()), _SUM)
+            rows["text"], rows["times"] = keys[new], 1
+            times.append(rows)
             if size >= GATHERED:
                 yield from deal()
-                words, asks, size = [], [], 0
+                words, asks, times, size = [], [], [], 0
         if words:
             yield from deal()
 
@@ -328,14 +329,15 @@ def _unlisted(listing: Listing, parts: int):
 
 
 def _answered(parts: int):
-    """Sums over texts of the logs of their words' counts; totals of the shapes' counts."""
+    """Sums over texts of the logs of their words' counts, dealt anew by text; totals of the shapes' counts."""
 
     def run(batches):
         held: dict[int, tuple[list, list]] = {}
+        sums = []
         for batch in batches:
             for part, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == 2:
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([2], pa.int32()), pa.array([blob], pa.binary())], ["part", "kind", "blob"])
+                    sums.append(np.frombuffer(blob, _SUM))
                 else:
                     held.setdefault(part, ([], []))[kind].append(blob)
         for part in list(held):
@@ -359,6 +361,9 @@ def _answered(parts: int):
             rows["text"] = text[starts]
             rows["log"] = np.add.reduceat(np.log10(c + 0.5), starts)
             rows["known"] = np.add.reduceat((c > 0).astype(np.int64), starts)
+            sums.append(rows)
+        if sums:
+            rows = np.concatenate(sums)
             yield _dealt(2, rows, rows["text"], parts)
 
     return run
@@ -388,7 +393,6 @@ def score_language_model(docs: DataFrame, model: LanguageModel, learn: Column, i
     spark = docs.sparkSession
     listing = model.listing
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = 4 * n
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"), learn.alias("learns"))
     kind = dict(rows.dtypes)["id"]
 
@@ -404,7 +408,7 @@ def score_language_model(docs: DataFrame, model: LanguageModel, learn: Column, i
 
     count = partition_sums(rows.select("body", "learns"), counts, (len(listing.hashes) + 1,))
     blobs = "part int, kind int, blob binary"
-    asked = rows.mapInArrow(_unlisted(listing, parts), blobs).repartition(n, "part").mapInArrow(_answered(parts), blobs)
+    asked = rows.mapInArrow(_unlisted(listing, n), blobs).repartitionById(n, F.col("part")).mapInArrow(_answered(n), blobs)
     answers = written(asked, "word-answers")
     own = (np.frombuffer(r["blob"]).reshape(2, SHAPES) for r in answers.where("kind = 3").select("blob").collect())
     shapes = sum(own, np.zeros((2, SHAPES)))
@@ -444,7 +448,7 @@ def score_language_model(docs: DataFrame, model: LanguageModel, learn: Column, i
             )
 
     scored = rows.select("id", "body").mapInArrow(run, f"id {kind}, key long, n long, k long, base double, own double")
-    sums = answers.where("kind = 2").repartition(n, "part").mapInArrow(_added, "key long, log double, known long")
+    sums = answers.where("kind = 2").repartitionById(n, F.col("part")).mapInArrow(_added, "key long, log double, known long")
     log, more = F.coalesce("log", F.lit(0.0)), F.coalesce("known", F.lit(0))
     return scored.join(sums, "key", "left").select(
         F.col("id").alias(id_col),
