@@ -31,7 +31,7 @@ from .common import grouped_by_bytes, spread, table
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Entries of a worker's memo, after which it starts anew.
-MEMO = 400_000
+MEMO = 250_000
 
 #: Pieces of more bytes are not kept in the memo.
 MEMO_BYTES = 64
