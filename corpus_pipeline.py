@@ -19,18 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm import bpe, decontamination, jaccard, language_id, quality
-from tallyweave.llm.common import fold, shared_dir, table
+from tallyweave.llm.common import held_out, shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns as op4 does, from the documents themselves."""
-    model = language_id.fit_language(docs, fold("doc_id", 4) != 2)
+    model = language_id.fit_language(docs, ~held_out("doc_id", 4, 2))
     return language_id.keep_language(docs, model)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns as op2 does, from the labels of what the stage before kept."""
-    model, _ = quality.learned(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    model, _ = quality.learned(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))
     return quality.keep_quality(docs, model)
 
 

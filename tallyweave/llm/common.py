@@ -49,17 +49,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
-def fold(column: str | Column, k: int) -> Column:
-    """crc32 of the id as text, modulo k."""
-    c = F.col(column) if isinstance(column, str) else column
-    return F.crc32(c.cast("string").cast("binary")) % F.lit(k)
-
-
-def slices(batches, rows: int):
-    """Arrow batches cut to at most so many rows, so that memory stays bounded."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+def held_out(id_col: str, k: int, rest: int) -> Column:
+    """Whether crc32 of the id as text leaves this rest modulo k; false for null ids."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(k) == rest, F.lit(False))
 
 
 def grouped_by_bytes(batches, column: int, most: int):

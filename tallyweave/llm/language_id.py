@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filter_texts, fold, grouped_by_bytes, spread, table, text_bytes
+from .common import filter_texts, grouped_by_bytes, held_out, spread, table, text_bytes
 from .gru import Adam, backward, forward, glorot, softmax
 
 #: Documents of each language that are learned from, at most, and windows of each of them.
@@ -207,7 +207,7 @@ def keep_language(docs: DataFrame, model: LanguageModel, least: float = ACCEPTED
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held = fold("doc_id", 4) == 2
+    held = held_out("doc_id", 4, 2)
     model = fit_language(docs, ~held)
     out = identify(spread(docs.select("doc_id", "text")), model)
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, grouped_by_bytes, spread, table, text_bytes, written
+from .common import grouped_by_bytes, held_out, spread, table, text_bytes, written
 from .gru import Adam, backward, forward, glorot, softmax
 from .hashing import LOWER, mix, span_hashes, word_spans
 from .quality import partition_sums
@@ -463,7 +463,7 @@ def score_language_model(docs: DataFrame, model: LanguageModel, learn: Column, i
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = fold("doc_id", 5) == 1
+    held = held_out("doc_id", 5, 1)
     model = fit_language_model(docs, ~held)
     out = score_language_model(spread(docs), model, ~held)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filter_texts, fold, grouped_by_bytes, spread, table, text_bytes, written
+from .common import filter_texts, grouped_by_bytes, held_out, spread, table, text_bytes, written
 from .hashing import span_hashes, word_spans
 
 #: Random Fourier features, ridge weight for each training row, and bins of the calibration.
@@ -247,7 +247,7 @@ def keep_quality(docs: DataFrame, model: QualityModel, least: float = 0.5, text_
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents."""
-    held = fold("doc_id", 3) == 1
+    held = held_out("doc_id", 3, 1)
     model, stats = learned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held)
     out = score_quality(stats, model)
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
