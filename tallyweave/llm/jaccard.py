@@ -139,10 +139,10 @@ def _tiles(batches):
 def _tokenised(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``id, n, set, bits`` of every document, and ``label, node`` of tiles and their sets."""
     spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.dtypes)["id"]
     gathered = docs.mapInArrow(lambda batches: _gathered(batches, parts), f"part int, blob binary, id {kind}, n long, set long, bits binary")
-    dealt = gathered.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
+    dealt = gathered.repartitionById(parts, F.col("part"))
     out = written(dealt.mapInArrow(_tiles, f"id {kind}, n long, set long, bits binary, label long, node long"), "jaccard-tiles")
     return out.where("n IS NOT NULL").select("id", "n", "set", "bits"), out.where("label IS NOT NULL").select("label", "node").distinct()
 
@@ -317,3 +317,24 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_jaccard": op6_jaccard}
+
+#: All pairs of documents that share a shingle; takes whole tables of some ten thousand documents.
+ORACLE_SQL = {
+    "op6_jaccard": """
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+  FROM split),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN least ON least.a = d.doc_id"""
+}

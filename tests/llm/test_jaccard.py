@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from oracle_check import connect, same
 
 from tallyweave.llm import jaccard
 from tallyweave.llm.common import text_bytes
@@ -118,3 +119,8 @@ def test_keep_one(odd, none):
     want = [(k, r["text"]) for k, r in enumerate(odd.where("doc_id IS NOT NULL").orderBy("doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()) if k != 6]
     assert rows == sorted(want, key=str)
     assert jaccard.keep_one(none).count() == 0
+
+
+def test_query_equals_sql(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    same(jaccard.op6_jaccard(spark, sf_dir), connect(sf_dir), jaccard.ORACLE_SQL["op6_jaccard"])
