@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, grouped_by_bytes, spread, table, text_bytes
+from .common import grouped_by_bytes, held_out, spread, table, text_bytes
 from .gru import Adam, backward, forward, glorot, sigmoid, softmax
 from .hashing import LOWER, mix, span_hashes, word_spans
 
 #: Labelled documents of each kind that are learned from, at most, and windows of each of them.
-SAMPLE, SAMPLE_WINDOWS = 1500, 12
+SAMPLE, SAMPLE_WINDOWS = 1500, 8
 
 #: Words of a window and between the starts of two.
 WINDOW, STRIDE = 128, 96
@@ -36,8 +36,8 @@ WINDOW, STRIDE = 128, 96
 #: Hash buckets of words and of trigrams; width of embeddings; state of each direction.
 WORDS, TRIGRAMS, WIDTH, HIDDEN = 1 << 14, 1 << 12, 8, 8
 
-#: Training: passes over the sample, documents in a batch, rate, share of word and of character inputs that are left out.
-PASSES, BATCH, RATE, DROP = 8, 24, 0.01, 0.25
+#: Training: updates, documents in a batch, rate, share of word and of character inputs that are left out.
+UPDATES, BATCH, RATE, DROP = 600, 24, 0.01, 0.25
 
 #: Words of fewer sampled documents come in by their characters only.
 LEAST_DOCUMENTS = 5
@@ -205,7 +205,7 @@ def gradients(model: ToxicityModel, words: Words, picked: np.ndarray, sizes: np.
     return grads
 
 
-def train(raw: np.ndarray, at: np.ndarray, y: np.ndarray, passes: int = PASSES, seed: int = 3) -> ToxicityModel:
+def train(raw: np.ndarray, at: np.ndarray, y: np.ndarray, updates: int = UPDATES, seed: int = 3) -> ToxicityModel:
     """A model of texts with labels; of each text's windows, the one that now scores highest learns."""
     rng = np.random.default_rng(seed)
     model = ToxicityModel(new_params(rng))
@@ -220,6 +220,8 @@ def train(raw: np.ndarray, at: np.ndarray, y: np.ndarray, passes: int = PASSES,
         by = [w if len(w) <= SAMPLE_WINDOWS else np.sort(rng.choice(w, SAMPLE_WINDOWS, replace=False)) for w in by]
     # Both kinds weigh alike while the network finds its words; then as they come, so that scores are probabilities.
     share = max(y.mean(), 1e-6)
+    each = -(-len(y) // BATCH)
+    passes = max(2, updates // each)
     for turn in range(passes):
         order = rng.permutation(len(y))
         for k in range(0, len(order), BATCH):
@@ -282,7 +284,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
-    held = fold("doc_id", 3) == 1
+    held = held_out("doc_id", 3, 1)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held)
     out = score_toxicity(spread(docs), model)
