@@ -122,7 +122,7 @@ def _tiles(batches):
     id_type = pa.int64()
     for batch in batches:
         id_type = batch.schema.field(2).type
-        docs = batch.filter(pa.compute.is_null(batch.column(1)))
+        docs = batch.filter(batch.column(1).is_null())
         if docs.num_rows:
             none = pa.nulls(docs.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([*docs.columns[2:], none, none], names)
