@@ -11,10 +11,13 @@ class, then the token within its class.
   word has (c + 0.5) / (N_class + 0.5 * (V_class + 1)) by its training count c.
 * The end is a class of its own.
 
-The network is trained in numpy by truncated backpropagation through time on a
-bounded sample of training documents; LISTED words of the sample are counted by
-number, all others through a shuffle by hash.  Both counts are exact, whatever
-the sample: which words are listed decides only how they are counted.
+All training words are counted before the network is made: the head words are the
+most frequent ones, and the network begins with the exact frequencies of classes
+and head words.  It is trained in numpy by truncated backpropagation through time,
+first on a bounded sample of training documents, which all tasks begin from, then
+by every task on all of its training documents, whole; the tasks' weights are
+averaged by their tokens.  LISTED words are counted by number when texts are
+scored, all others through a shuffle by hash; both counts are exact.
 
 Defined results: null and empty texts have the end alone.  Without training
 documents N is 0, V is 0, and the network is the untrained one.  Equal texts get
@@ -36,7 +39,7 @@ from .gru import Adam, backward, forward, glorot, softmax
 from .hashing import LOWER, mix, span_hashes, word_spans
 from .quality import partition_sums
 
-#: Training documents of the sample, at most, and words of each that train the network, from places dealt over the text.
+#: Training documents of the sample, at most, and words of each that train the network's first weights, from places dealt over the text.
 SAMPLE, SAMPLE_WORDS = 2400, 512
 
 #: Words that are counted by number, at most.
@@ -48,12 +51,18 @@ CLASSES, CLASS_WORDS, SHAPES = 48, 48, 63
 #: Width of the state; steps of a window; documents that are read side by side.
 HIDDEN, WINDOW, SIDE = 24, 32, 192
 
-#: Training: updates, documents side by side, rate.
+#: Training on the sample: updates, documents side by side, rate.
 UPDATES, TRAIN_SIDE, RATE = 700, 64, 0.01
 
+#: Rate of the training on all documents.
+REST_RATE = 0.002
+
 #: Bytes of text that a worker takes at a time; words that a task gathers before it deals them out.
 BATCH_BYTES, GATHERED = 2 << 20, 1 << 20
 
+#: Tasks that merge the parts' most frequent words.
+MERGERS = 16
+
 _HEAD = CLASSES * CLASS_WORDS
 _END = _HEAD + SHAPES  # number of the end among the inputs: head words, shapes, end
 _INPUTS = _END + 1
@@ -111,6 +120,7 @@ def _class_of(inputs: np.ndarray) -> np.ndarray:
 class LanguageModel:
     listing: Listing
     params: dict[str, np.ndarray]
+    trained: int = 0  # tokens of whole documents that the tasks trained with
 
     def gates(self, inputs: np.ndarray) -> np.ndarray:
         """Input gates of tokens (T, B)."""
@@ -175,7 +185,7 @@ class LanguageModel:
 
 
 def new_params(rng: np.random.Generator, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """First weights; the last biases are the sample's frequencies, so the network begins as those."""
+    """First weights; the last biases are the frequencies of ``counts``, so the network begins as those."""
     h = HIDDEN
     classes = np.bincount(_class_of(np.arange(_INPUTS)), counts + 0.5, _OUTPUTS)
     return {
@@ -185,15 +195,57 @@ def new_params(rng: np.random.Generator, counts: np.ndarray) -> dict[str, np.nda
     }
 
 
-def train(listing: Listing, texts: list[np.ndarray], updates: int = UPDATES, seed: int = 17) -> LanguageModel:
-    """A network of documents given as inputs, ends included; states are carried over the windows of a document."""
+def _update(model: LanguageModel, adam: Adam, targets: np.ndarray, mask: np.ndarray, state: np.ndarray, last: np.ndarray, rate: float) -> np.ndarray:
+    """One update from a window (T, B) of documents side by side; the states after it."""
+    p, side = model.params, targets.shape[1]
+    seen = np.vstack((last, targets[:-1]))
+    states, kept = forward(model.gates(seen), p["rec"], p["bias"], state, keep=True)
+    some = np.flatnonzero(mask.ravel())
+    flat = np.ascontiguousarray(states[1:].transpose(1, 0, 2).reshape(HIDDEN, -1)[:, some])
+    goal, weight = targets.ravel()[some], np.float32(1 / max(1, len(some)))
+    kind = _class_of(goal)
+    d = softmax(p["class"] @ flat + p["class_bias"], axis=0)
+    d[kind, np.arange(len(kind))] -= 1
+    d *= weight
+    grads = {"class": d @ flat.T, "class_bias": d.sum(1, keepdims=True), "word": np.zeros_like(p["word"]), "word_bias": np.zeros_like(p["word_bias"])}
+    d_flat = p["class"].T @ d
+    order = np.argsort(kind, kind="stable")
+    ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+    for k in range(CLASSES):
+        own = order[ends[k] : ends[k + 1]]
+        if len(own):
+            now = flat[:, own]
+            e = softmax(p["word"][k] @ now + p["word_bias"][k][:, None], axis=0)
+            e[goal[own] % CLASS_WORDS, np.arange(len(own))] -= 1
+            e *= weight
+            grads["word"][k], grads["word_bias"][k] = e @ now.T, e.sum(1)
+            d_flat[:, own] += p["word"][k].T @ e
+    d_all = np.zeros((HIDDEN, mask.size), np.float32)
+    d_all[:, some] = d_flat
+    d_states = np.ascontiguousarray(d_all.reshape(HIDDEN, -1, side).transpose(1, 0, 2))
+    d_in, grads["rec"], grads["bias"] = backward(d_states, states, kept, p["rec"])
+    # Rows of one input are added up in the order of inputs.
+    rows, inputs = d_in.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN), seen.ravel()
+    by = np.argsort(inputs, kind="stable")
+    found, first = np.unique(inputs[by], return_index=True)
+    grads["in"] = np.zeros_like(p["in"])
+    grads["in"][found] = np.add.reduceat(rows[by], first)
+    adam.update(grads, rate)
+    return states[-1].copy()
+
+
+def train(listing: Listing, texts: list[np.ndarray], updates: int = UPDATES, seed: int = 17, counts: np.ndarray | None = None) -> LanguageModel:
+    """A network of documents given as inputs, ends included; states are carried over the windows of a document.
+
+    ``counts``: of all inputs, those of the texts if left out.
+    """
     rng = np.random.default_rng(seed)
-    counts = np.bincount(np.concatenate(texts), minlength=_INPUTS) if texts else np.zeros(_INPUTS)
+    if counts is None:
+        counts = np.bincount(np.concatenate(texts), minlength=_INPUTS) if texts else np.zeros(_INPUTS)
     model = LanguageModel(listing, new_params(rng, counts))
-    p = model.params
     if not texts:
         return model
-    adam = Adam(p, RATE)
+    adam = Adam(model.params, RATE)
     b = TRAIN_SIDE
     doc, place = rng.integers(0, len(texts), b), np.zeros(b, np.int64)
     state, last = np.zeros((HIDDEN, b), np.float32), np.full(b, _END)
@@ -203,39 +255,107 @@ def train(listing: Listing, texts: list[np.ndarray], updates: int = UPDATES, see
         for k in range(b):
             part = texts[doc[k]][place[k] : place[k] + WINDOW]
             targets[: len(part), k], mask[: len(part), k] = part, True
-        seen = np.vstack((last, targets[:-1]))
-        states, kept = forward(model.gates(seen), p["rec"], p["bias"], state, keep=True)
-        flat = np.ascontiguousarray(states[1:].transpose(1, 0, 2).reshape(HIDDEN, -1))
-        goal, weight = targets.ravel(), mask.ravel() / max(1, mask.sum())
-        kind = _class_of(goal)
-        d = softmax(p["class"] @ flat + p["class_bias"], axis=0)
-        d[kind, np.arange(len(kind))] -= 1
-        d *= weight.astype(np.float32)
-        grads = {"class": d @ flat.T, "class_bias": d.sum(1, keepdims=True), "word": np.zeros_like(p["word"]), "word_bias": np.zeros_like(p["word_bias"])}
-        d_flat = p["class"].T @ d
-        for k in range(CLASSES):
-            own = np.flatnonzero((kind == k) & (weight > 0))
-            if len(own):
-                e = softmax(p["word"][k] @ flat[:, own] + p["word_bias"][k][:, None], axis=0)
-                e[goal[own] % CLASS_WORDS, np.arange(len(own))] -= 1
-                e *= weight[own].astype(np.float32)
-                grads["word"][k], grads["word_bias"][k] = e @ flat[:, own].T, e.sum(1)
-                d_flat[:, own] += p["word"][k].T @ e
-        d_states = np.ascontiguousarray(d_flat.reshape(HIDDEN, WINDOW, b).transpose(1, 0, 2))
-        d_in, grads["rec"], grads["bias"] = backward(d_states, states, kept, p["rec"])
-        grads["in"] = np.zeros_like(p["in"])
-        np.add.at(grads["in"], seen.ravel(), d_in.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN))
-        adam.update(grads, RATE * min(1.0, 2 * (1 - update / updates)))
         # The state goes on into the next window; who has ended makes room for another document.
-        state, last, place = states[-1].copy(), targets[-1].copy(), place + WINDOW
+        state = _update(model, adam, targets, mask, state, last, RATE * min(1.0, 2 * (1 - update / updates)))
+        last, place = targets[-1].copy(), place + WINDOW
         over = np.flatnonzero([place[k] >= len(texts[doc[k]]) for k in range(b)])
         doc[over], place[over], last[over] = rng.integers(0, len(texts), len(over)), 0, _END
         state[:, over] = 0
     return model
 
 
+def train_on(model: LanguageModel, texts) -> int:
+    """Train the network once with every token of all documents, which come as ``train`` takes them; the number of tokens."""
+    adam, texts, tokens = Adam(model.params, REST_RATE), iter(texts), 0
+    own: list[np.ndarray] = []
+    place, last, state = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((HIDDEN, 0), np.float32)
+    while True:
+        while len(own) < SIDE and (text := next(texts, None)) is not None:
+            own.append(text)
+        new = len(own) - len(place)
+        place, last = np.append(place, np.zeros(new, np.int64)), np.append(last, np.full(new, _END))
+        state = np.hstack((state, np.zeros((HIDDEN, new), np.float32)))
+        if not own:
+            return tokens
+        targets = np.full((WINDOW, len(own)), _END)
+        mask = np.zeros((WINDOW, len(own)), bool)
+        for k, text in enumerate(own):
+            part = text[place[k] : place[k] + WINDOW]
+            targets[: len(part), k], mask[: len(part), k] = part, True
+        n = int(mask.sum())
+        # A window of few tokens, as at the end of a task, moves the weights less.
+        state = _update(model, adam, targets, mask, state, last, REST_RATE * n / (WINDOW * SIDE))
+        tokens += n
+        place += WINDOW
+        go = np.flatnonzero(place < [len(text) for text in own])
+        own, place, last, state = [own[k] for k in go], place[go], targets[-1][go], np.ascontiguousarray(state[:, go])
+
+
+def _flat(params: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([params[k].ravel() for k in sorted(params)]).astype(np.float64)
+
+
+def _unflat(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    names = sorted(like)
+    parts = np.split(flat, np.cumsum([like[k].size for k in names])[:-1])
+    return {k: np.ascontiguousarray(x.reshape(like[k].shape), np.float32) for k, x in zip(names, parts)}
+
+
+def _with_ends(listing: Listing, hashes: np.ndarray, of: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs of texts, ends included, where each text's end, and numbers of the words."""
+    numbers = listing.numbers(hashes)
+    ends = np.cumsum(np.bincount(of, minlength=rows) + 1)
+    inputs = np.empty(len(hashes) + rows, np.int32)
+    inputs[ends - 1] = _END
+    inputs[np.arange(len(hashes)) + of] = inputs_of(numbers, hashes)
+    return inputs, ends, numbers
+
+
+def train_on_all(model: LanguageModel, bodies: DataFrame) -> LanguageModel:
+    """The network after every task has trained it with all of its documents, averaged by the tasks' tokens."""
+    size = len(_flat(model.params))
+    held = bodies.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        begin = held.value
+        own = LanguageModel(begin.listing, {k: v.copy() for k, v in begin.params.items()})
+
+        def texts():
+            for batch in grouped_by_bytes(batches, 0, BATCH_BYTES):
+                inputs, ends, _ = _with_ends(own.listing, *tokens_of(*text_bytes(batch.column(0))), batch.num_rows)
+                yield from np.split(inputs, ends[:-1])
+
+        n = train_on(own, texts())
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([np.append(_flat(own.params) * n, n).tobytes()], pa.binary())], ["v"])
+
+    def add(batch):
+        return sum((np.frombuffer(v) for v in batch.column(0).to_pylist()), np.zeros(size + 1))
+
+    total = partition_sums(bodies.mapInArrow(run, "v binary"), add, (size + 1,))
+    held.unpersist()
+    if not total[-1]:
+        return model
+    return LanguageModel(model.listing, _unflat(total[:-1] / total[-1], model.params), int(total[-1]))
+
+
 def fit_language_model(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> LanguageModel:
-    """A network and a listing from the training documents whose ids have the least hashes, ``sample`` of them at most."""
+    """A network and a listing from all training documents.
+
+    The first weights are learned from the documents whose ids have the least hashes,
+    ``sample`` of them at most.
+    """
+    bodies = spread(docs.select(id_col, text_col)).where(learn).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
+    words, n, shapes = count_words(bodies)
+    listing = Listing.of(words)
+    # Exact counts of what the network reads: head words, all others by shape, ends.
+    counts = np.zeros(_INPUTS)
+    counts[_HEAD:_END] = shapes
+    inputs = inputs_of(listing.numbers(words), words)
+    head = inputs < _HEAD
+    counts[inputs[head]] = n[head]
+    counts[_HEAD:_END] -= np.bincount((words[head] & np.uint64(63)).astype(np.int64), n[head], SHAPES)
+    counts[_END] = bodies.count()
     u = F.xxhash64(F.col(id_col), F.lit(29))
     ids = docs.where(learn).select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().select("id", F.xxhash64("id", F.lit(29)).alias("u")).orderBy("u", "id").limit(sample)
     rows = docs.where(learn).select(F.col(id_col).alias("id"), u.alias("u"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body")).join(F.broadcast(ids.select("id")), "id")
@@ -248,16 +368,13 @@ def fit_language_model(docs: DataFrame, learn: Column, id_col: str = "doc_id", t
 
     got = rows.select("id", "u", "body").mapInArrow(run, "u long, v binary").toArrow().sort_by([("u", "ascending"), ("v", "ascending")])
     texts = [np.frombuffer(v, np.uint64) for v in got.column("v").to_pylist()]
-    flat = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
-    found, count = np.unique(flat, return_counts=True)
-    listing = Listing.of(found[np.lexsort((found, -count))][:LISTED])
     own = []
     for t in texts:
         # A long text trains with one run of words, from a place that the text's own length deals.
         first = len(t) * 7919 % max(1, len(t) - SAMPLE_WORDS) if len(t) > SAMPLE_WORDS else 0
         part = t[first : first + SAMPLE_WORDS]
         own.append(np.append(inputs_of(listing.numbers(part), part), _END))
-    return train(listing, own)
+    return train_on_all(train(listing, own, counts=counts), bodies)
 
 
 _COUNT = np.dtype([("word", np.uint64), ("n", np.int64)])
@@ -275,6 +392,71 @@ def _dealt(kind: int, rows: np.ndarray, by: np.ndarray, parts: int) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(np.full(len(found), kind, np.int32)), pa.array(blobs, pa.binary())], ["part", "kind", "blob"])
 
 
+def count_words(bodies: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent words of the one column of texts, their counts, and the counts of all words by shape.
+
+    Words are dealt by hash, so every part has exact counts; a part tells its most
+    frequent words, more than there are head words, and MERGERS tasks merge those.
+    """
+    spark = bodies.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = max(2 * _HEAD, 4 * LISTED // parts)
+
+    def run(batches):
+        held, size = [], 0
+
+        def merged():
+            words, at = np.unique(np.concatenate([r["word"] for r in held]), return_inverse=True)
+            return _counts(words, np.bincount(at, np.concatenate([r["n"] for r in held]), len(words)))
+
+        for batch in batches:
+            for piece in grouped_by_bytes([batch], 0, BATCH_BYTES):
+                held.append(_counts(*np.unique(tokens_of(*text_bytes(piece.column(0)))[0], return_counts=True)))
+                size += len(held[-1])
+                if size > GATHERED:
+                    held = [merged()]
+                    size = len(held[0])
+                    if size > GATHERED // 2:
+                        yield _dealt(0, held[0], held[0]["word"], parts)
+                        held, size = [], 0
+        if held:
+            rows = merged()
+            yield _dealt(0, rows, rows["word"], parts)
+
+    def told(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                held.setdefault(part, []).append(blob)
+        for part in list(held):
+            rows = np.frombuffer(b"".join(held.pop(part)), _COUNT)
+            words, at = np.unique(rows["word"], return_inverse=True)
+            rows = _counts(words, np.bincount(at, rows["n"], len(words)))
+            shapes = np.bincount((words & np.uint64(63)).astype(np.int64), rows["n"], SHAPES)
+            yield pa.RecordBatch.from_arrays([pa.array([part % MERGERS], pa.int32()), pa.array([_first(rows, most).tobytes()], pa.binary()), pa.array([shapes.tobytes()], pa.binary())], ["k", "v", "shapes"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        rows = _first(np.frombuffer(b"".join(t.column("v").to_pylist()), _COUNT), LISTED)
+        shapes = sum(map(np.frombuffer, t.column("shapes").to_pylist()))
+        return pa.table([t.column("k").combine_chunks()[:1], pa.array([rows.tobytes()], pa.binary()), pa.array([shapes.tobytes()], pa.binary())], ["k", "v", "shapes"])
+
+    dealt = bodies.mapInArrow(run, "part int, kind int, blob binary").repartitionById(parts, F.col("part"))
+    out = dealt.mapInArrow(told, "k int, v binary, shapes binary").groupBy("k").applyInArrow(merge, "k int, v binary, shapes binary").collect()
+    rows = _first(np.frombuffer(b"".join(r["v"] for r in out), _COUNT), LISTED)
+    return rows["word"], rows["n"], sum((np.frombuffer(r["shapes"]) for r in out), np.zeros(SHAPES))
+
+
+def _counts(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    rows = np.empty(len(words), _COUNT)
+    rows["word"], rows["n"] = words, n
+    return rows
+
+
+def _first(rows: np.ndarray, most: int) -> np.ndarray:
+    """The rows of the highest counts, the highest first; of equal counts the least hashes."""
+    return rows[np.lexsort((rows["word"], -rows["n"]))[:most]]
+
+
 def text_keys(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each text."""
     return span_hashes(raw, at[:-1], at[1:], lower=False).view(np.int64)
@@ -429,13 +611,9 @@ def score_language_model(docs: DataFrame, model: LanguageModel, learn: Column, i
             raw, at = text_bytes(batch.column(1))
             hashes, of = tokens_of(raw, at)
             n_rows = len(at) - 1
-            numbers = net.listing.numbers(hashes)
-            read = inputs_of(numbers, hashes)
+            inputs, ends, numbers = _with_ends(net.listing, hashes, of, n_rows)
+            read = inputs[np.arange(len(hashes)) + of]
             size = np.bincount(of, minlength=n_rows)
-            ends = np.cumsum(size + 1)
-            inputs = np.empty(len(read) + n_rows, np.int32)
-            inputs[ends - 1] = _END
-            inputs[np.arange(len(read)) + of] = read
             total = net.documents(inputs, np.r_[0, ends]) / np.log(10)
             logs = np.where(numbers >= 0, log_of[numbers], 0.0)
             base = np.bincount(of, logs, n_rows) + log_of[-1]

@@ -96,3 +96,25 @@ def test_odd_texts(spark, odd, none):
     untrained = M.fit_language_model(none, learn)
     rows = M.score_language_model(odd, untrained, F.lit(False)).collect()
     assert len(rows) == odd.count() and all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in rows)
+
+
+def test_all_training_documents_are_learned_from(spark):
+    """Head words and class frequencies are of all training words, and every token of them trains, whatever the sample."""
+    long = " ".join(f"w{k % 700}" for k in range(3000))
+    rows = [(k, long if k == 7 else "often seen words " * (1 + k % 5)) for k in range(40)] + [(100 + k, "kept apart") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = M.fit_language_model(docs, F.col("doc_id") < 100, sample=1)
+    count = Counter(w for i, t in rows if i < 100 for w in tokens(t))
+    hashes = {w: int(M.tokens_of(*text_of(w))[0][0]) for w in count if w is not None}
+    listed = model.listing.hashes.tolist()
+    assert {hashes[w] for w in ("often", "seen", "words")} == set(listed[:3])
+    assert hashes["w699"] in listed and int(M.tokens_of(*text_of("kept"))[0][0]) not in listed
+    assert model.trained == sum(count.values())
+    # Training goes on from the exact frequency of the end, which the one document of the sample does not have.
+    share = np.exp(model.params["class_bias"][-1, 0]) / np.exp(model.params["class_bias"]).sum()
+    assert abs(np.log(share / (count[None] / sum(count.values())))) < 1
+
+
+def text_of(word):
+    raw = np.frombuffer(word.encode(), np.uint8)
+    return raw, np.array([0, len(raw)])
