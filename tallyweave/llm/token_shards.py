@@ -7,8 +7,11 @@ training order.  Slots are dealt by ranges: each range is one shard file, in
 which every sequence takes the same number of bytes.  A reader finds slot s in
 shard s // sequences-a-shard, and can begin or go on anywhere.
 
-The ids are the text's UTF-8 bytes and END (255, which no UTF-8 text holds), one
-byte each; END also fills up a text's last sequence.
+The ids are those of a byte-level BPE vocabulary of ranks and the first number that
+it leaves free as the end, two bytes each, little-endian; the end also fills up a
+text's last sequence.  Texts are encoded once: the ids are written to the shared
+folder, and are counted and dealt from there.  Without a vocabulary the ids are
+the text's UTF-8 bytes and END (255, which no UTF-8 text holds), one byte each.
 
 Defined results: a null text counts as empty; an empty text is one sequence of
 END.  Repeated rows each have their own sequences.  An empty table gives no rows
@@ -18,9 +21,11 @@ clash.
 
 from __future__ import annotations
 
+import base64
 import uuid
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import grouped_by_bytes, shared_dir, table, text_bytes
+from .bpe import PATTERN
+from .common import grouped_by_bytes, shared_dir, spread, table, text_bytes, written
 from .hashing import mix
 
 #: Ids of a sequence, bytes of a shard at most, the id that ends a text, rounds of the permutation.
 LENGTH, SHARD_BYTES, END, ROUNDS = 512, 16 << 20, 255, 6
 
-#: How sequences are compressed on their way to their shard; in the shard they are as they are.
-CODEC = "zstd"
+#: How ids are compressed until they are in their shard, where they are as they are.
+CODEC, LEVEL = "zstd", 9
 
 #: The queries' key of the permutation.
 KEY = 20240229
@@ -45,6 +51,51 @@ KEY = 20240229
 BATCH_BYTES = 8 << 20
 
 
+def codec() -> pa.Codec:
+    return pa.Codec(CODEC, compression_level=LEVEL)
+
+
+def default_path() -> str:
+    """The file of ranks that the query uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str):
+    """One encoder for each worker process and file, and the end's id."""
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    end = max(ranks.values()) + 1
+    if end > 0xFFFF:
+        raise ValueError(f"{path} has more ids than two bytes tell apart")
+    return tiktoken.Encoding("shards", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), end
+
+
+def encoded(rows: DataFrame, path: str, length: int) -> DataFrame:
+    """The ids of all texts, written to the shared folder: a row for each batch of ``id`` and ``body``.
+
+    Rows: the texts' ids, their numbers of token ids, all token ids compressed, and
+    the number of sequences.  Strings of special tokens are ordinary text.
+    """
+
+    def run(batches):
+        encode = encoder(path)[0].encode_to_numpy
+        for batch in grouped_by_bytes(batches, 1, BATCH_BYTES):
+            tokens = [encode(t, disallowed_special=()).astype("<u2") for t in batch.column(1).to_pylist()]
+            n = np.array([len(t) for t in tokens], np.int64)
+            ends = pa.array(np.array([0, batch.num_rows], np.int32))
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (batch.column(0), pa.array(n))]
+            data = codec().compress(np.concatenate(tokens).tobytes(), asbytes=True)
+            yield pa.RecordBatch.from_arrays([*lists, pa.array([data], pa.binary()), pa.array([int(((n + length) // length).sum())])], ["id", "n", "ids", "sequences"])
+
+    kind = dict(rows.dtypes)["id"]
+    return written(rows.mapInArrow(run, f"id array<{kind}>, n array<long>, ids binary, sequences long"), "token-ids")
+
+
 @dataclass(frozen=True)
 class Order:
     """A keyed permutation of the numbers below ``size``."""
@@ -69,13 +120,13 @@ class Order:
         return x.astype(np.int64)
 
 
-def sequences(raw: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All sequences of texts, as rows of ids, with each one's text and number of ids (END included)."""
+def sequences(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, end: int = END) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All sequences of texts, as rows of ids, with each one's text and number of ids (the end included)."""
     size = np.diff(at) + 1
     count = -(-size // length)
     of = np.repeat(np.arange(len(size)), count)
     part = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    ids = np.full((len(of), length), END, np.uint8)
+    ids = np.full((len(of), length), end, raw.dtype)
     # Each text's rows are one run of memory.
     flat, first = ids.reshape(-1), (np.cumsum(count) - count) * length
     flat[np.repeat(first - at[:-1], np.diff(at)) + np.arange(len(raw))] = raw
@@ -90,6 +141,12 @@ class Shards:
     length: int
     total: int  # sequences
     each: int  # sequences of a shard; the last has what is left
+    kind: str = "u1"  # of an id
+
+    @property
+    def stride(self) -> int:
+        """Bytes of a sequence."""
+        return self.length * np.dtype(self.kind).itemsize
 
     def path(self, shard: int) -> str:
         return f"{self.folder}/shard-{shard:06d}.bin"
@@ -101,9 +158,9 @@ class Shards:
         while slot < stop:
             shard, place = divmod(slot, self.each)
             with fs.open_input_file(f"{root}/shard-{shard:06d}.bin") as f:
-                f.seek(place * self.length)
+                f.seek(place * self.stride)
                 for _ in range(min(self.each - place, stop - slot)):
-                    yield np.frombuffer(f.read(self.length), np.uint8)
+                    yield np.frombuffer(f.read(self.stride), self.kind)
                     slot += 1
 
 
@@ -118,7 +175,7 @@ def _write(shards: Shards):
     def shard_of(shard: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         first = shard * shards.each
         size = min(shards.each, shards.total - first)
-        ids = np.empty((size, shards.length), np.uint8)
+        ids = np.empty((size, shards.length), shards.kind)
         lists = [pa.concat_arrays([r.column(k).flatten() for r in rows]) for k in range(1, 5)]
         places = np.asarray(lists[0]) - first
         if len(places) != size or not np.array_equal(np.sort(places), np.arange(size)):
@@ -126,8 +183,8 @@ def _write(shards: Shards):
         at = 0
         for r in rows:
             n = len(r.column(1).flatten())
-            raw = pa.decompress(r.column(5)[0].as_buffer(), n * shards.length, CODEC)
-            ids[places[at : at + n]] = np.frombuffer(raw, np.uint8).reshape(n, shards.length)
+            raw = codec().decompress(r.column(5)[0].as_buffer(), n * shards.stride)
+            ids[places[at : at + n]] = np.frombuffer(raw, shards.kind).reshape(n, shards.length)
             at += n
         fs, root = pafs.FileSystem.from_uri(shards.folder)
         path = f"{root}/.{shard:06d}-{uuid.uuid4().hex}"
@@ -153,32 +210,51 @@ def _write(shards: Shards):
     return run
 
 
-def materialise(docs: DataFrame, folder: str, key: int, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, Shards]:
+def materialise(docs: DataFrame, folder: str, key: int, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES, path: str | None = None) -> tuple[DataFrame, Shards]:
     """A row for each sequence, which writes the shards when it is run, and their layout.
 
-    ``docs``: a table as it is read; its partitions must be the same each time, and
-    the tasks fail if they are not.  Write any other frame first.
+    ``path``: a file of ranks, present on every executor; bytes are the ids if left out.
+
+    ``docs``: any frame where there is a vocabulary.  Otherwise a table as it is read;
+    its partitions must be the same each time, and the tasks fail if they are not.
+    Write any other frame first.
 
     Rows: ``id_col``, ``part`` (of the text), ``n_ids``, ``slot``, ``shard``,
     ``place`` (in the shard) and ``crc32`` of the stored ids.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     kind = dict(rows.dtypes)["id"]
+    end = encoder(path)[1] if path else END
+    if path:
+        rows = encoded(rows, path, length)
     # Partitions of this scan are the same each time; a sum for each of them is all that the driver gets.
-    count = F.floor((F.octet_length("body") + length) / length)
+    count = F.col("sequences") if path else F.floor((F.octet_length("body") + length) / length)
     sums = {r["p"]: r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(count).alias("n")).collect()}
     first, total = {}, 0
     for p in sorted(sums):
         first[p] = total
         total += sums[p]
     order = Order(total, key)
-    shards = Shards(folder, length, total, max(1, shard_bytes // length))
+    id_kind = "<u2" if path else "u1"
+    shards = Shards(folder, length, total, max(1, shard_bytes // (length * np.dtype(id_kind).itemsize)), id_kind)
+
+    def texts(batches):
+        """Texts' ids, token ids of all of them, and where each text's begin."""
+        if not path:
+            for batch in grouped_by_bytes(batches, 1, BATCH_BYTES):
+                yield batch.column(0), *text_bytes(batch.column(1))
+            return
+        for batch in batches:
+            for k in range(batch.num_rows):
+                at = np.cumsum(np.append(0, np.asarray(batch.column(1).slice(k, 1).flatten())))
+                raw = codec().decompress(batch.column(2)[k].as_buffer(), int(at[-1]) * 2) if at[-1] else b""
+                yield batch.column(0).slice(k, 1).flatten(), np.frombuffer(raw, id_kind), at
 
     def run(batches):
         task = TaskContext.get().partitionId()
         at = first.get(task, 0)
-        for batch in grouped_by_bytes(batches, 1, BATCH_BYTES):
-            ids, of, n = sequences(*text_bytes(batch.column(1)), length)
+        for names, raw, starts in texts(batches):
+            ids, of, n = sequences(raw, starts, length, end)
             slots = order.slots(np.arange(at, at + len(of), dtype=np.uint64))
             at += len(of)
             part = np.arange(len(of)) - np.searchsorted(of, of)
@@ -188,14 +264,14 @@ def materialise(docs: DataFrame, folder: str, key: int, id_col: str = "doc_id",
             found, begin = np.unique(shard[by], return_index=True)
             ends = pa.array(np.append(begin, len(by)).astype(np.int32))
             take = pa.array(by)
-            lists = [x.take(take) for x in (pa.array(slots), batch.column(0).take(pa.array(of)), pa.array(part.astype(np.int32)), pa.array(n.astype(np.int32)))]
-            data = [pa.compress(ids[own].tobytes(), CODEC, asbytes=True) for own in np.split(by, begin[1:])]
+            lists = [x.take(take) for x in (pa.array(slots), names.take(pa.array(of)), pa.array(part.astype(np.int32)), pa.array(n.astype(np.int32)))]
+            data = [codec().compress(ids[own].tobytes(), asbytes=True) for own in np.split(by, begin[1:])]
             columns = [pa.array(found.astype(np.int32)), *[pa.ListArray.from_arrays(ends, x) for x in lists], pa.array(data, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["shard", "slot", "id", "part", "n_ids", "ids"])
         if at != first.get(task, 0) + sums.get(task, 0):
             raise RuntimeError("the partitions of the input changed")
 
-    cut = rows.mapInArrow(run, f"shard int, slot array<long>, id array<{kind}>, part array<int>, n_ids array<int>, ids binary")
+    cut = (rows.select("id", "n", "ids") if path else rows).mapInArrow(run, f"shard int, slot array<long>, id array<{kind}>, part array<int>, n_ids array<int>, ids binary")
     n = max(1, -(-total // shards.each))
     dealt = cut.repartitionById(n, F.col("shard"))
     fs, root = pafs.FileSystem.from_uri(folder)
@@ -206,8 +282,8 @@ def materialise(docs: DataFrame, folder: str, key: int, id_col: str = "doc_id",
 
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sequence of all documents with its place in training order; the shards lie in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
-    return materialise(docs, f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}", KEY)[0]
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return materialise(docs, f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}", KEY, path=default_path())[0]
 
 
 QUERIES = {"op9_shards": op9_shards}

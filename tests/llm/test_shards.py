@@ -45,3 +45,36 @@ def test_round_trip(odd, length):
 def test_empty(none):
     rows, shards = materialise(none, "file://" + tempfile.mkdtemp(), 3)
     assert rows.count() == 0 and list(shards.read()) == []
+
+
+@pytest.mark.parametrize("length", [16, 512])
+def test_ids_are_of_the_vocabulary(odd, length):
+    """What is stored equals the tokenizer library's ids, and the end after them."""
+    from tokenizers import Tokenizer
+
+    from tallyweave.llm import bpe
+    from tallyweave.llm.token_shards import default_path
+
+    library = Tokenizer.from_file(bpe.default_path())
+    library.encode_special_tokens = True
+    rows, shards = materialise(odd.repartition(3), "file://" + tempfile.mkdtemp(), 3, length=length, shard_bytes=16 * length, path=default_path())
+    rows = rows.collect()
+    stored = list(shards.read())
+    assert sorted(r["slot"] for r in rows) == list(range(shards.total)) and len(stored) == shards.total and shards.each == 8
+    parts: dict = {}
+    for r in rows:
+        parts.setdefault((r["doc_id"], r["part"]), []).append(stored[r["slot"]][: r["n_ids"]].tolist())
+        assert set(stored[r["slot"]][r["n_ids"] :].tolist()) <= {50256}
+    for r in odd.collect():
+        want = library.encode(r["text"] or "", add_special_tokens=False).ids + [50256]
+        for k in range(-(-len(want) // length)):
+            assert want[k * length : (k + 1) * length] in parts[r["doc_id"], k]
+
+
+def test_query_stores_ids(spark, sf_dir):
+    from tallyweave.llm.token_shards import default_path, encoder, op9_shards
+
+    encode = encoder(default_path())[0].encode_ordinary
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    rows = op9_shards(spark, sf_dir).collect()
+    assert sum(r["n_ids"] for r in rows) == sum(len(encode(d["text"] or "")) + 1 for d in docs)
