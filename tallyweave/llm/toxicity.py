@@ -27,8 +27,8 @@ from .common import grouped_by_bytes, held_out, spread, table, text_bytes
 from .gru import Adam, backward, forward, glorot, sigmoid, softmax
 from .hashing import LOWER, mix, span_hashes, word_spans
 
-#: Labelled documents of each kind that are learned from, at most, and windows of each of them.
-SAMPLE, SAMPLE_WINDOWS = 1500, 8
+#: Labelled documents of each kind that are learned from, at most.
+SAMPLE = 1500
 
 #: Words of a window and between the starts of two.
 WINDOW, STRIDE = 128, 96
@@ -216,8 +216,6 @@ def train(raw: np.ndarray, at: np.ndarray, y: np.ndarray, updates: int = UPDATES
     if len(number):
         pairs = np.unique(rows * len(words.bucket) + number) % len(words.bucket)
         model.params["known"][words.bucket[np.bincount(pairs, minlength=len(words.bucket)) >= LEAST_DOCUMENTS]] = 1
-    if SAMPLE_WINDOWS:
-        by = [w if len(w) <= SAMPLE_WINDOWS else np.sort(rng.choice(w, SAMPLE_WINDOWS, replace=False)) for w in by]
     # Both kinds weigh alike while the network finds its words; then as they come, so that scores are probabilities.
     share = max(y.mean(), 1e-6)
     each = -(-len(y) // BATCH)
@@ -228,7 +226,8 @@ def train(raw: np.ndarray, at: np.ndarray, y: np.ndarray, updates: int = UPDATES
             docs = order[k : k + BATCH]
             own = np.concatenate([by[d] for d in docs])
             bag = np.repeat(np.arange(len(docs)), [len(by[d]) for d in docs])
-            logit = model.run(_source(number, model.embed(words), first[own], sizes[own]), sizes[own])
+            table = model.embed(words)
+            logit = np.concatenate([model.run(_source(number, table, first[w], sizes[w]), sizes[w]) for w in np.split(own, range(AT_ONCE, len(own), AT_ONCE))])
             high = np.lexsort((logit, bag))[np.cumsum([len(by[d]) for d in docs]) - 1]
             use = own[high]
             # Only the batch's own words get gradients.

@@ -77,3 +77,19 @@ def test_odd_texts(spark, odd, none):
     assert X.score_toxicity(none, model).count() == 0
     constant = X.fit_toxicity(odd, labels.where("toxic = 0"), F.lit(True))
     assert {r["score"] for r in X.score_toxicity(odd, constant).collect()} == {0.0}
+
+
+def test_all_windows_of_a_document_are_looked_at(monkeypatch):
+    """The highest window is looked for among all windows of a training document, however many."""
+    from tallyweave.llm import toxicity
+
+    seen = []
+    whole = toxicity.ToxicityModel.run
+    monkeypatch.setattr(toxicity.ToxicityModel, "run", lambda self, x, sizes, keep=False: seen.append(0 if keep else len(sizes)) or whole(self, x, sizes, keep))
+    texts = [" ".join(f"w{k}" for k in range(n)).encode() for n in (30 * toxicity.STRIDE, 5, 12 * toxicity.STRIDE)]
+    at = np.cumsum([0, *map(len, texts)])
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    _, rows, _ = toxicity.words_of(raw, at)
+    windows = len(toxicity.windows_of(rows, 3)[2])
+    toxicity.train(raw, at, np.array([1, 0, 1]), updates=1)
+    assert windows > 40 and sum(seen) == 2 * windows
