@@ -14,12 +14,16 @@ ROUNDS = 100
 def components(edges: DataFrame, one: str = "a", other: str = "b") -> DataFrame:
     """``node, label`` of every node of the edges; the label is the least node of its component.
 
-    Each round takes the least label of a node's neighbours, then the label's own
-    label, so paths halve.  Every round is written to the shared folder.  Least
-    labels are summed up before they are shuffled, so a node of any degree is no
-    hot key.
+    First a node keeps the edge to its least neighbour, and its other lesser
+    neighbours take an edge to that one, so trees of many tasks over the same nodes
+    become one tree.  Each round takes the least label of a node's neighbours, then
+    the label's own label, so paths halve.  Every round is written to the shared
+    folder.  Least labels are summed up before they are shuffled, so a node of any
+    degree is no hot key.
     """
-    pairs = edges.select(F.col(one).alias("x"), F.col(other).alias("y")).where("x <> y")
+    pairs = edges.select(F.greatest(one, other).alias("x"), F.least(one, other).alias("y")).where("x <> y").distinct()
+    least = pairs.join(pairs.groupBy("x").agg(F.min("y").alias("low")), "x")
+    pairs = least.select(F.when(F.col("y") == F.col("low"), F.col("x")).otherwise(F.col("y")).alias("x"), F.col("low").alias("y")).distinct()
     both = written(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
     labels = written(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("label")), "labels")
     for _ in range(ROUNDS):

@@ -4,18 +4,20 @@
 2. Size bands and segment keys (see ``shingles``) deal the classes into tiles.  A
    tile holds the sets that agree on one segment; linked sets share a tile.
    Classes that share tiles, directly or through others, are a family.
-3. Families are taken in blocks of bounded size.  Set sizes and the bits of hashed
+3. Families are dealt into blocks of bounded size.  Set sizes and the bits of hashed
    bitmaps bound the overlap of two sets from above.  Pairs that the bound lets
    through make smaller families; only for these are texts read again, and their
-   sorted arrays intersected exactly.  Pairs that are already connected in a block
-   are passed over, for they change no component.
-5. Components of the verified links, and the least id in each.
+   sorted arrays intersected exactly.  Pairs that are already connected are passed
+   over, for they change no component: first each block is connected in itself, then
+   what these links leave apart is compared across the blocks of its family.
+4. Components of the verified links, and the least id in each.
 
 Defined results: null texts and texts without words have an empty set and link
 with nothing, each is its own component.  Texts of one to four words have one
-shingle, the whole.  Repeated rows are copies like others; of rows with null ids
-the component is the least id that is not null, if any.  Only the id and text
-columns are read, so other columns never clash.
+shingle, the whole.  Texts of any length are taken whole.  Repeated rows are copies
+like others; of rows with null ids the component is the least id that is not null,
+if any.  An empty table gives no rows.  Only the id and text columns are read, so
+other columns never clash.
 """
 
 from __future__ import annotations
@@ -37,8 +39,14 @@ BATCH_BYTES = 1 << 20
 #: Segment keys that a task gathers before it deals them out.
 GATHERED = 1 << 20
 
-#: Sets in a block of a tile or family.
-BLOCK = 1024
+#: Sets, and shingles of all its sets, in a block of a tile or family.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 22
+
+#: Sets in a block of those that the links within blocks leave apart.
+CROSS = 1024
+
+#: A set with more than this share of all rows as its copies is one of few, so it is sent to the copies and not they to it.
+HOT_SHARE = 1 / 1000
 
 #: Keys of classes that a task remembers, to deal out the segments of equal sets once.
 REMEMBERED = 1 << 20
@@ -177,27 +185,28 @@ def _sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 class _Joined:
     """Union and find over places."""
 
-    def __init__(self, n: int):
-        self.of = np.arange(n)
+    def __init__(self, of: np.ndarray):
+        self.of = of
 
     def unite(self, a: int, b: int) -> None:
         x, y = self.of[a], self.of[b]
         self.of[self.of == max(x, y)] = min(x, y)
 
 
-def links(sizes: np.ndarray, bits: np.ndarray, hashes: list[np.ndarray] | None = None, across: int | None = None) -> list[tuple[int, int]]:
+def links(sizes: np.ndarray, bits: np.ndarray, hashes: list[np.ndarray] | None = None, across: int | None = None, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of places whose sets link, as many as connect all that links connect.
 
     Without ``hashes``: pairs that may link, by their sizes and bits.
     ``across``: only pairs between places before and from it on.
+    ``known``: a number for each place; places of one number are connected already.
     """
     n = len(sizes)
-    joined, found = _Joined(n), []
+    joined, found = _Joined(np.arange(n) if known is None else np.unique(known, return_inverse=True)[1]), []
     common = lambda i, j: len(np.intersect1d(hashes[i], hashes[j], assume_unique=True))
     for i in range(n if across is None else across):
         rest = np.arange(i + 1 if across is None else across, n)
-        rest = rest[np.minimum(sizes[rest], sizes[i]) * 100 >= PERCENT * np.maximum(sizes[rest], sizes[i])]
         rest = rest[joined.of[rest] != joined.of[i]]
+        rest = rest[np.minimum(sizes[rest], sizes[i]) * 100 >= PERCENT * np.maximum(sizes[rest], sizes[i])]
         if len(rest):
             rest = rest[enough(overlap_bound(bits[i], sizes[i], bits[rest], sizes[rest]), sizes[i], sizes[rest])]
         for j in rest.tolist():
@@ -207,67 +216,139 @@ def links(sizes: np.ndarray, bits: np.ndarray, hashes: list[np.ndarray] | None =
     return found
 
 
+class _Forest:
+    """Union and find over the sets of a task; a tree's root is its least set."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        path = []
+        while (y := self.above.get(x, x)) != x:
+            path.append(x)
+            x = y
+        for y in path:
+            self.above[y] = x
+        return x
+
+    def unite(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.above[max(a, b)] = min(a, b)
+
+    def edges(self) -> pa.RecordBatch:
+        """Each set that is no root, and its root; begins anew."""
+        nodes = list(self.above)
+        roots = [self.root(x) for x in nodes]
+        self.above = {}
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["a", "b"])
+
+
 def _connected(batches):
-    """Links within blocks; rows ``family, i, j, side, set, n, bits, hashes`` come sorted by block."""
-    now, rows = None, []
+    """What blocks connect, as edges from sets to the least one of their tree, one tree for all blocks of a task.
+
+    Rows ``family, i, j, side, set, n, bits, hashes, known`` come sorted by block.
+    """
+    now, rows, forest = None, [], _Forest()
 
-    def emit():
-        rows.sort(key=lambda r: r[0])
+    def connect():
+        rows.sort(key=lambda r: (r[0], r[1]))
         sides = [r[0] for r in rows]
         bits = folded([r[3] for r in rows])
         hashes = None if rows[0][4] is None else [np.frombuffer(r[4], np.uint64) for r in rows]
-        pairs = links(np.array([r[2] for r in rows]), bits, hashes, sides.count(0) if 1 in sides else None)
-        if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array([rows[p[k]][1] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+        known = None if rows[0][5] is None else np.array([r[5] for r in rows])
+        for a, b in links(np.array([r[2] for r in rows]), bits, hashes, sides.count(0) if 1 in sides else None, known):
+            forest.unite(rows[a][1], rows[b][1])
 
     for batch in batches:
         for family, i, j, *row in zip(*(column.to_pylist() for column in batch.columns)):
             if (family, i, j) != now:
                 if len(rows) > 1:
-                    yield from emit()
+                    connect()
+                    if len(forest.above) > REMEMBERED:
+                        yield forest.edges()
                 now, rows = (family, i, j), []
             rows.append(row)
     if len(rows) > 1:
-        yield from emit()
-
-
-def _linked(sets: DataFrame, families: DataFrame) -> DataFrame:
-    """Links ``a, b`` of sets within tiles or families; those of more than BLOCK sets are dealt into pairs of blocks."""
-    spark = sets.sparkSession
-    sizes = families.groupBy("label").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("label", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    member = families.join(sizes, "label", "left").withColumn("own", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = member.select(F.col("node").alias("set"), F.col("label").alias("family"), "own", F.explode(others).alias("other"))
-    dealt = dealt.select("set", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
-    rows = sets.join(dealt, "set").select("family", "i", "j", "side", "set", "n", "bits", "hashes")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        connect()
+    if forest.above:
+        yield forest.edges()
+
+
+def _blocks_connected(sets: DataFrame, dealt: DataFrame) -> DataFrame:
+    """Edges ``a, b`` within blocks; ``dealt``: ``set, family, i, j, side, known``."""
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sets.join(dealt, "set").select("family", "i", "j", "side", "set", "n", "bits", "hashes", "known")
     return rows.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_connected, "a long, b long")
 
 
+def _linked(sets: DataFrame, families: DataFrame, sizes: DataFrame | None = None, tag: str = "jaccard") -> DataFrame:
+    """``node, label`` of all sets that links within tiles or families connect; no link across blocks is lost.
+
+    Families of more than BLOCK sets are dealt into blocks twice, at random each
+    time, and what blocks connect is contracted.  Where that leaves a family in
+    several components, all sets outside its largest component are compared with
+    the whole family.  ``sizes``: ``node, n``, the sets' shingles, if blocks are to
+    be bounded by them too.
+    """
+    member = families if sizes is None else families.join(sizes, "node")
+    weight = F.greatest(F.count("*") / BLOCK, F.lit(0) if sizes is None else F.sum("n") / BLOCK_SHINGLES)
+    large = written(member.groupBy("label").agg(F.ceil(weight).cast("int").alias("blocks")).where("blocks > 1"), f"{tag}-large")
+    member = families.join(large, "label", "left")
+    block = lambda turn: F.pmod(F.xxhash64("node", "label", F.lit(turn)), F.col("blocks")).cast("int")
+    places = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
+    places = places.otherwise(F.array(*[F.struct(block(turn).alias("i"), F.lit(turn).alias("j")) for turn in (0, 1)]))
+    none, zero = F.lit(None).cast("long").alias("known"), F.lit(0).alias("side")
+    dealt = member.select(F.col("node").alias("set"), F.col("label").alias("family"), F.explode(places).alias("p"), zero, none).select("set", "family", "p.i", "p.j", "side", "known")
+    first = components(written(_blocks_connected(sets, dealt), f"{tag}-edges"))
+    if large.isEmpty():
+        return first
+    # Families of several blocks that are still in several components.
+    own = families.join(large, "label", "left_semi").join(first.withColumnRenamed("label", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    parts = own.groupBy("label", "part").agg(F.count("*").alias("m"))
+    parts = parts.groupBy("label").agg(F.max(F.struct("m", "part")).alias("most"), F.sum("m").alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    apart = written(parts.select("label", F.col("most.part").alias("main"), F.ceil(F.col("most.m") / CROSS).cast("int").alias("mains"), F.ceil((F.col("m") - F.col("most.m")) / CROSS).cast("int").alias("others")), f"{tag}-apart")
+    if apart.isEmpty():
+        return first
+    own = own.join(apart, "label").withColumn("of_main", F.expr("part = main"))
+    place = F.xxhash64("node", "label")
+    at = F.when(F.col("of_main"), F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))).cast("int")
+    last = F.when(F.col("of_main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
+    dealt = own.select(F.col("node").alias("set"), F.col("label").alias("family"), at.alias("at"), F.explode(F.sequence(F.lit(0), last)).alias("other"), F.col("part").alias("known"))
+    dealt = dealt.select("set", "family", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.when(F.col("at") > F.col("other"), 1).otherwise(0).alias("side"), "known")
+    more = _blocks_connected(sets, dealt)
+    return components(written(more.unionByName(first.select(F.col("node").alias("a"), F.col("label").alias("b"))), f"{tag}-edges"))
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return spread(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body")))
 
 
 def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``id, n, set`` of every document; ``set, least, label`` of every set that is not empty: its least id and its component."""
+    """``id, n, set`` of every document; ``set, least, copies, label`` of every set that is not empty: its least id, its rows and its component."""
     known, tiles = _tokenised(rows)
     signed = known.where("bits IS NOT NULL").dropDuplicates(["set"]).select("set", "n", "bits", F.lit(None).cast("binary").alias("hashes"))
-    families = components(written(_linked(signed, tiles), "jaccard-bounded"))
-    chosen = written(known.where("bits IS NOT NULL").join(families.select(F.col("node").alias("set")), "set").groupBy("set").agg(F.min("id").alias("id")), "jaccard-chosen")
+    families = _linked(signed, tiles, tag="jaccard-bounded")
+    chosen = known.where("bits IS NOT NULL").join(families.select(F.col("node").alias("set")), "set").groupBy("set").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    chosen = written(chosen, "jaccard-chosen")
     sets = _sets(rows, _filter_of(chosen.select("id"))).dropDuplicates(["set"])
-    joined = components(written(_linked(sets, families), "jaccard-links"))
+    joined = _linked(sets, families, chosen.select(F.col("set").alias("node"), "n"), tag="jaccard-links")
     known = known.select("id", "n", "set")
-    classes = known.where("n > 0").groupBy("set").agg(F.min("id").alias("least"))
+    classes = known.where("n > 0").groupBy("set").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     return known, classes.join(joined.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_shingles`` and ``component_id`` of every row."""
     known, group = _groups(_rows(docs, id_col, text_col))
-    component = group.join(group.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("set", "component_id")
-    # Copies may be a third of all rows; AQE splits their side of this join.
-    out = known.join(component, "set", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    component = group.join(group.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("set", "copies", "component_id")
+    component = written(component, "jaccard-components")
+    # Copies of one text may be a third of all rows.  Sets with so many copies are 1 / HOT_SHARE at most, and are broadcast.
+    hot = F.broadcast(component.where(F.col("copies") > max(1, int(known.count() * HOT_SHARE))).select("set", "component_id"))
+    some = known.where("n > 0")
+    out = some.join(hot, "set").unionByName(some.join(hot.select("set"), "set", "left_anti").join(component.drop("copies"), "set"))
+    out = out.select("id", "n", "component_id").unionByName(known.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,7 +360,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     rows = _rows(docs, id_col, text_col)
     known, group = _groups(rows)
-    first = known.join(group, "set").groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "set")).alias("k")).select(F.col("k.id").alias("id"), F.col("k.set").alias("set"))
+    first = group.groupBy("label").agg(F.min(F.struct(F.col("least").isNull(), "least", "set")).alias("k")).select(F.col("k.least").alias("id"), F.col("k.set").alias("set"))
     stays = written(first, "jaccard-stays")
     counted = known.where("n > 0").groupBy("id", "set").agg(F.count("*").alias("c"))
     other = (F.col("s.set").isNull()) | (F.col("c") > 1)

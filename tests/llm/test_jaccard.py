@@ -124,3 +124,53 @@ def test_keep_one(odd, none):
 def test_query_equals_sql(spark):
     sf_dir = "/root/testdata/sf0.01"
     same(jaccard.op6_jaccard(spark, sf_dir), connect(sf_dir), jaccard.ORACLE_SQL["op6_jaccard"])
+
+
+def one_group(n, words=300, seed=6):
+    """Near copies of one text, each with one word of its own."""
+    r = random.Random(seed)
+    base = [f"w{k}" for k in range(words)]
+    rows = []
+    for k in range(n):
+        own = list(base)
+        own[r.randrange(words)] = f"x{k}"
+        rows.append((k, " ".join(own)))
+    return rows
+
+
+def test_edges_of_a_large_group_follow_its_sets(spark, monkeypatch):
+    """Blocks of 3,000 near copies give a few edges for each set, not one for each pair or tile, and the group is one component."""
+    seen = []
+    plain = jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda edges: seen.append(edges.count()) or plain(edges))
+    df = spark.createDataFrame(one_group(3000), "doc_id long, text string").repartition(16)
+    got = jaccard.jaccard_join(df).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == 3000
+    assert seen and max(seen) <= 24 * 3000
+
+
+def test_sets_that_blocks_leave_apart(spark, monkeypatch):
+    """Chains of links between sets that lie in different blocks are found across them."""
+    monkeypatch.setattr(jaccard, "BLOCK", 2)
+    monkeypatch.setattr(jaccard, "CROSS", 3)
+    rows = []
+    for chain in range(3):
+        words = [f"c{chain}w{k}" for k in range(400)]
+        for k in range(14):
+            # Each differs from the one before by some words, so that the ends of a chain do not link.
+            rows.append((100 * chain + k, " ".join(words)))
+            words = words[:]
+            words[k * 25 : k * 25 + 12] = [f"c{chain}n{k}v{x}" for x in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(df).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_hot_copies_and_empty_texts(spark):
+    """Copies that are a third of all rows, and empty texts that are another, get their components."""
+    texts = ["a b c d e f g", "", None]
+    rows = [(k, texts[k % 3] if k % 4 else f"only {k} one two three four") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(df).collect()}
+    for k, t in rows:
+        assert got[k] == ((3, 3) if t == texts[0] else (0, k) if not t else (2, k))
