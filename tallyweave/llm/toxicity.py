@@ -5,13 +5,16 @@ overlapping windows.  Each word comes in as an embedding of its hash and one of
 its characters: the mean over its hashed character trigrams.  Each window has a
 score, and the document's is that of its highest window.  The network is trained
 in numpy by backpropagation through time on a bounded sample of labelled
-documents; of a document, the highest window learns.
+documents: each pass scores all windows of them, and of each document the highest
+window learns.
 
 Defined results: null and empty texts, and texts of white space, have one window
 of no words, whose score is that of a window with nothing in it.  Labels that are
 null, or belong to no document, are ignored.  Without labels of both kinds every
-score is the labels' mean, or 0.  Equal texts get equal scores.  Only the named
-columns are read, so other columns never clash.
+score is the labels' mean, or 0.  Texts of any length are scored whole.  Equal texts
+get equal scores but for the rounding of sums in 32 bits, which may differ with the
+texts beside them.  Repeated rows each get a row, an empty table none.  Only the
+named columns are read, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -144,11 +147,14 @@ class ToxicityModel:
         embedded = self.embed(words)
         first, sizes, of = windows_of(rows, n)
         best = np.full(n, -np.inf)
-        for k in range(0, len(of), AT_ONCE):
-            part = slice(k, k + AT_ONCE)
-            np.maximum.at(best, of[part], self.run(_source(number, embedded, first[part], sizes[part]), sizes[part]))
+        np.maximum.at(best, of, self.windows(number, embedded, first, sizes))
         return sigmoid(best)
 
+    def windows(self, number: np.ndarray, embedded: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The logit of each window, as of ``windows_of``."""
+        parts = [slice(k, k + AT_ONCE) for k in range(0, len(first), AT_ONCE)]
+        return np.concatenate([np.zeros(0, np.float32), *(self.run(_source(number, embedded, first[p], sizes[p]), sizes[p]) for p in parts)])
+
 
 def _picked(number: np.ndarray, empty: int, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Numbers of the words of windows, as columns; ``empty`` beyond their words."""
@@ -212,7 +218,6 @@ def train(raw: np.ndarray, at: np.ndarray, y: np.ndarray, updates: int = UPDATES
     adam = Adam(model.params, RATE)
     number, rows, words = words_of(raw, at)
     first, sizes, of = windows_of(rows, len(y))
-    by = np.split(np.arange(len(of)), np.flatnonzero(np.diff(of)) + 1)
     if len(number):
         pairs = np.unique(rows * len(words.bucket) + number) % len(words.bucket)
         model.params["known"][words.bucket[np.bincount(pairs, minlength=len(words.bucket)) >= LEAST_DOCUMENTS]] = 1
@@ -220,16 +225,14 @@ def train(raw: np.ndarray, at: np.ndarray, y: np.ndarray, updates: int = UPDATES
     share = max(y.mean(), 1e-6)
     each = -(-len(y) // BATCH)
     passes = max(2, updates // each)
+    last = np.append(np.flatnonzero(np.diff(of)), len(of) - 1)
     for turn in range(passes):
+        # All windows of all documents are scored once a pass; each document's highest one learns.
+        high = np.lexsort((model.windows(number, model.embed(words), first, sizes), of))[last]
         order = rng.permutation(len(y))
         for k in range(0, len(order), BATCH):
             docs = order[k : k + BATCH]
-            own = np.concatenate([by[d] for d in docs])
-            bag = np.repeat(np.arange(len(docs)), [len(by[d]) for d in docs])
-            table = model.embed(words)
-            logit = np.concatenate([model.run(_source(number, table, first[w], sizes[w]), sizes[w]) for w in np.split(own, range(AT_ONCE, len(own), AT_ONCE))])
-            high = np.lexsort((logit, bag))[np.cumsum([len(by[d]) for d in docs]) - 1]
-            use = own[high]
+            use = high[docs]
             # Only the batch's own words get gradients.
             picked = _picked(number, len(words.bucket), first[use], sizes[use])
             some, local = np.unique(np.append(picked.ravel(), len(words.bucket)), return_inverse=True)
