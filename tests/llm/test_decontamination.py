@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -38,7 +39,7 @@ def some(n, r):
 @pytest.mark.parametrize("seed", range(6))
 def test_finds_all_within_the_budget(seed):
     r = random.Random(seed)
-    items = [some(r.choice([20, 25, 60, 150, 300]), r).decode() for _ in range(12)]
+    items = [some(r.choice([10, 13, 19, 20, 25, 60, 150, 300]), r).decode() for _ in range(12)]
     index = D.build(list(enumerate(items)))
     assert (index.least >= 1).all()
     texts, want = [], []
@@ -78,8 +79,8 @@ def test_many_turns(spark, sf_dir, monkeypatch):
     docs, items = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "benchmark"))
     want = sorted(map(tuple, D.find_contamination(docs, items).collect()))
     assert want
-    monkeypatch.setattr(D, "BROADCAST_BYTES", 3000)
-    assert len(list(D.indexes(items))) > 1
+    monkeypatch.setattr(D, "INDEX_BYTES", 80_000)
+    assert D.indexes(items)[0] > 1
     assert sorted(map(tuple, D.find_contamination(docs, items).collect())) == want
     clean = {r["doc_id"] for r in D.keep_clean(docs, items).collect()}
     assert clean == {r["doc_id"] for r in docs.collect()} - {w[0] for w in want}
@@ -89,7 +90,7 @@ def test_exact_passages(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     got = {(r["doc_id"], r["item_id"]) for r in D.op3_decontamination(spark, sf_dir).collect()}
-    exact = {(d, i) for d, t in texts.items() for i, x in items.items() if x in t and len(D.normal(x)) >= D.LEAST}
+    exact = {(d, i) for d, t in texts.items() for i, x in items.items() if x in t}
     assert exact and exact <= got
 
 
@@ -98,3 +99,38 @@ def test_odd_texts(spark, odd, none):
     assert {(r["doc_id"], r["item_id"]) for r in D.find_contamination(odd, items).collect()} == {(9, 1)}
     assert D.find_contamination(none, items).count() == 0 and D.find_contamination(odd, items.where("false")).count() == 0
     assert D.keep_clean(odd, items).count() == odd.count() - 1 and D.keep_clean(odd, items).columns == odd.columns
+
+
+def test_short_items_are_found_as_whole_words(spark):
+    items = [(1, "2 + 2?"), (2, "Yes!"), (3, "é"), (4, "What is 2+2? Four."), (5, "--"), (6, "yes"), (7, "abc de fgh")]
+    texts = ["so 2+2 it is", "122", "yesterday", "Oh, YES.", "café", "an é alone", "what is 2 + 2 four", "-- --", "abc, de, fgh", "xabc de fgh", "abc de fghi", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = D.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"))
+    got = sorted((r["doc_id"], r["item_id"], r["edits"]) for r in found.collect())
+    assert got == [(0, 1, 0), (3, 2, 0), (3, 6, 0), (5, 3, 0), (6, 1, 0), (6, 4, 0), (8, 7, 0)]
+    assert sorted(r["doc_id"] for r in D.keep_clean(docs, spark.createDataFrame(items, "item_id long, text string")).collect()) == [1, 2, 4, 7, 9, 10, 11, 12]
+
+
+def test_items_of_one_template_take_seconds():
+    """3,200 items that share a template, and a document that repeats the template and holds three of them."""
+    r = random.Random(1)
+    template = some(87, r).decode()
+    items = [(k, template + some(60, r).decode()) for k in range(3200)]
+    index = D.build(items)
+    parts = [template + some(40, r).decode() for _ in range(50)]
+    parts[10], parts[20], parts[49] = items[5][1], edited(items[3000][1].encode(), 6, r).decode(), items[77][1]
+    began = time.perf_counter()
+    got = D.search([np.frombuffer("".join(parts).encode(), np.uint8)], index)
+    assert time.perf_counter() - began < 20
+    assert [(i, e <= 6) for _, i, _, _, e in got] == [(5, True), (77, True), (3000, True)]
+
+
+def test_turns_of_places_give_the_same(monkeypatch):
+    r = random.Random(3)
+    items = [some(60, r).decode() for _ in range(40)]
+    index = D.build([*enumerate(items), (99, items[0])])
+    texts = [np.frombuffer((some(30, r).decode() + items[k] + some(50, r).decode()).encode(), np.uint8) for k in range(0, 40, 3)]
+    want = D.search(texts, index)
+    assert len(want) >= 15
+    monkeypatch.setattr(D, "ENTRIES", 50)
+    assert D.search(texts, index) == want
