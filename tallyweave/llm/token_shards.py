@@ -8,23 +8,28 @@ which every sequence takes the same number of bytes.  A reader finds slot s in
 shard s // sequences-a-shard, and can begin or go on anywhere.
 
 The ids are those of a byte-level BPE vocabulary of ranks and the first number that
-it leaves free as the end, two bytes each, little-endian; the end also fills up a
-text's last sequence.  Texts are encoded once: the ids are written to the shared
-folder, and are counted and dealt from there.  Without a vocabulary the ids are
-the text's UTF-8 bytes and END (255, which no UTF-8 text holds), one byte each.
+it leaves free as the end, two bytes each (four where there are more ids than two
+bytes tell apart), little-endian; the end also fills up a text's last sequence.
+Without a vocabulary the ids are the text's UTF-8 bytes and END (255, which no UTF-8
+text holds), one byte each.  Texts are encoded once: the ids are written to the
+shared folder with each batch's place in its task, and are counted, numbered and
+dealt from there, however often a task runs and on whatever executors.  A manifest
+beside the shards tells their layout, so any process can read on from any slot.
 
 Defined results: a null text counts as empty; an empty text is one sequence of
-END.  Repeated rows each have their own sequences.  An empty table gives no rows
-and no shards.  Only the id and text columns are read, so other columns never
-clash.
+END; a text of any length is stored whole, in as many sequences as it takes.
+Repeated rows, and equal texts, each have their own sequences.  An empty table
+gives no rows and no shards.  Only the id and text columns are read, so other
+columns never clash.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import uuid
 import zlib
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -38,8 +43,11 @@ from .bpe import PATTERN
 from .common import grouped_by_bytes, shared_dir, spread, table, text_bytes, written
 from .hashing import mix
 
-#: Ids of a sequence, bytes of a shard at most, the id that ends a text, rounds of the permutation.
-LENGTH, SHARD_BYTES, END, ROUNDS = 512, 16 << 20, 255, 6
+#: Ids of a sequence, the id that ends a text, rounds of the permutation.
+LENGTH, END, ROUNDS = 512, 255, 6
+
+#: Bytes of a shard at most, until there are so many shards; beyond that shards grow with the data.
+SHARD_BYTES, SHARDS = 16 << 20, 200_000
 
 #: How ids are compressed until they are in their shard, where they are as they are.
 CODEC, LEVEL = "zstd", 9
@@ -47,8 +55,10 @@ CODEC, LEVEL = "zstd", 9
 #: The queries' key of the permutation.
 KEY = 20240229
 
-#: Bytes of text that a worker takes at a time.
-BATCH_BYTES = 8 << 20
+#: Bytes of text that a worker takes at a time; ids that a task gathers before it deals them out.
+BATCH_BYTES, GATHERED = 8 << 20, 12 << 20
+
+MANIFEST = "manifest.json"
 
 
 def codec() -> pa.Codec:
@@ -69,31 +79,45 @@ def encoder(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    end = max(ranks.values()) + 1
-    if end > 0xFFFF:
-        raise ValueError(f"{path} has more ids than two bytes tell apart")
-    return tiktoken.Encoding("shards", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), end
+    return tiktoken.Encoding("shards", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
+
 
+def layout(path: str | None) -> tuple[int, str]:
+    """The end's id, and numpy's name of an id's kind."""
+    if not path:
+        return END, "u1"
+    end = encoder(path)[1]
+    return end, "<u2" if end <= 0xFFFF else "<u4"
 
-def encoded(rows: DataFrame, path: str, length: int) -> DataFrame:
+
+def encoded(rows: DataFrame, path: str | None, length: int) -> DataFrame:
     """The ids of all texts, written to the shared folder: a row for each batch of ``id`` and ``body``.
 
-    Rows: the texts' ids, their numbers of token ids, all token ids compressed, and
-    the number of sequences.  Strings of special tokens are ordinary text.
+    Rows: the texts' ids, their numbers of token ids, all token ids compressed, the
+    number of sequences, the task, and the task's sequences before these.  Strings of
+    special tokens are ordinary text.
     """
 
     def run(batches):
-        encode = encoder(path)[0].encode_to_numpy
+        kind = layout(path)[1]
+        encode = encoder(path)[0].encode_to_numpy if path else None
+        task, before = TaskContext.get().partitionId(), 0
         for batch in grouped_by_bytes(batches, 1, BATCH_BYTES):
-            tokens = [encode(t, disallowed_special=()).astype("<u2") for t in batch.column(1).to_pylist()]
-            n = np.array([len(t) for t in tokens], np.int64)
+            if encode:
+                tokens = [encode(t, disallowed_special=()).astype(kind) for t in batch.column(1).to_pylist()]
+                n, ids = np.array([len(t) for t in tokens], np.int64), np.concatenate(tokens)
+            else:
+                ids, at = text_bytes(batch.column(1))
+                n = np.diff(at)
             ends = pa.array(np.array([0, batch.num_rows], np.int32))
             lists = [pa.ListArray.from_arrays(ends, x) for x in (batch.column(0), pa.array(n))]
-            data = codec().compress(np.concatenate(tokens).tobytes(), asbytes=True)
-            yield pa.RecordBatch.from_arrays([*lists, pa.array([data], pa.binary()), pa.array([int(((n + length) // length).sum())])], ["id", "n", "ids", "sequences"])
+            data = codec().compress(ids.tobytes(), asbytes=True)
+            own = int(((n + length) // length).sum())
+            yield pa.RecordBatch.from_arrays([*lists, pa.array([data], pa.binary()), pa.array([own]), pa.array([task]), pa.array([before])], ["id", "n", "ids", "sequences", "task", "before"])
+            before += own
 
     kind = dict(rows.dtypes)["id"]
-    return written(rows.mapInArrow(run, f"id array<{kind}>, n array<long>, ids binary, sequences long"), "token-ids")
+    return written(rows.mapInArrow(run, f"id array<{kind}>, n array<long>, ids binary, sequences long, task long, before long"), "token-ids")
 
 
 @dataclass(frozen=True)
@@ -129,7 +153,8 @@ def sequences(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, end: int =
     ids = np.full((len(of), length), end, raw.dtype)
     # Each text's rows are one run of memory.
     flat, first = ids.reshape(-1), (np.cumsum(count) - count) * length
-    flat[np.repeat(first - at[:-1], np.diff(at)) + np.arange(len(raw))] = raw
+    for a, b, to in zip(at[:-1].tolist(), at[1:].tolist(), first.tolist()):
+        flat[to : to + b - a] = raw[a:b]
     return ids, of, np.minimum(length, size[of] - part * length)
 
 
@@ -142,6 +167,24 @@ class Shards:
     total: int  # sequences
     each: int  # sequences of a shard; the last has what is left
     kind: str = "u1"  # of an id
+    end: int = END
+    key: int = 0  # of the permutation
+
+    @classmethod
+    def open(cls, folder: str) -> Shards:
+        """The layout of the shards in a folder, by its manifest."""
+        fs, root = pafs.FileSystem.from_uri(folder)
+        with fs.open_input_file(f"{root}/{MANIFEST}") as f:
+            return cls(folder, **json.loads(f.read()))
+
+    def declare(self) -> None:
+        """Make the folder and write the manifest."""
+        fs, root = pafs.FileSystem.from_uri(self.folder)
+        fs.create_dir(root, recursive=True)
+        path = f"{root}/.{uuid.uuid4().hex}"
+        with fs.open_output_stream(path) as out:
+            out.write(json.dumps({k: v for k, v in asdict(self).items() if k != "folder"}).encode())
+        fs.move(path, f"{root}/{MANIFEST}")
 
     @property
     def stride(self) -> int:
@@ -177,7 +220,7 @@ def _write(shards: Shards):
         size = min(shards.each, shards.total - first)
         ids = np.empty((size, shards.length), shards.kind)
         lists = [pa.concat_arrays([r.column(k).flatten() for r in rows]) for k in range(1, 5)]
-        places = np.asarray(lists[0]) - first
+        places = np.asarray(lists[0]).astype(np.int64)
         if len(places) != size or not np.array_equal(np.sort(places), np.arange(size)):
             raise RuntimeError(f"shard {shard} has {len(places)} sequences of {size}")
         at = 0
@@ -189,10 +232,10 @@ def _write(shards: Shards):
         fs, root = pafs.FileSystem.from_uri(shards.folder)
         path = f"{root}/.{shard:06d}-{uuid.uuid4().hex}"
         with fs.open_output_stream(path) as out:
-            out.write(ids.tobytes())
+            out.write(memoryview(ids).cast("B"))
         fs.move(path, f"{root}/shard-{shard:06d}.bin")
         sums = [zlib.crc32(ids[p]) for p in places]
-        columns = [lists[1], lists[2], lists[3], lists[0], pa.array(np.full(size, shard)), pa.array(places), pa.array(sums, pa.int64())]
+        columns = [lists[1], lists[2], lists[3], pa.array(places + first), pa.array(np.full(size, shard)), pa.array(places), pa.array(sums, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["id", "part", "n_ids", "slot", "shard", "place", "crc32"])
 
     def run(batches):
@@ -215,67 +258,63 @@ def materialise(docs: DataFrame, folder: str, key: int, id_col: str = "doc_id",
 
     ``path``: a file of ranks, present on every executor; bytes are the ids if left out.
 
-    ``docs``: any frame where there is a vocabulary.  Otherwise a table as it is read;
-    its partitions must be the same each time, and the tasks fail if they are not.
-    Write any other frame first.
-
     Rows: ``id_col``, ``part`` (of the text), ``n_ids``, ``slot``, ``shard``,
     ``place`` (in the shard) and ``crc32`` of the stored ids.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     kind = dict(rows.dtypes)["id"]
-    end = encoder(path)[1] if path else END
-    if path:
-        rows = encoded(rows, path, length)
-    # Partitions of this scan are the same each time; a sum for each of them is all that the driver gets.
-    count = F.col("sequences") if path else F.floor((F.octet_length("body") + length) / length)
-    sums = {r["p"]: r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(count).alias("n")).collect()}
-    first, total = {}, 0
-    for p in sorted(sums):
-        first[p] = total
-        total += sums[p]
+    end, id_kind = layout(path)
+    rows = encoded(rows, path, length)
+    # A sum for each task that encoded is all that the driver gets.
+    sums = {r["task"]: r["n"] for r in rows.groupBy("task").agg(F.sum("sequences").alias("n")).collect()}
+    counts = np.array([sums.get(t, 0) for t in range(max(sums, default=-1) + 1)], np.int64)
+    total = int(counts.sum())
+    first = spark.sparkContext.broadcast(np.cumsum(counts) - counts)
     order = Order(total, key)
-    id_kind = "<u2" if path else "u1"
-    shards = Shards(folder, length, total, max(1, shard_bytes // (length * np.dtype(id_kind).itemsize)), id_kind)
-
-    def texts(batches):
-        """Texts' ids, token ids of all of them, and where each text's begin."""
-        if not path:
-            for batch in grouped_by_bytes(batches, 1, BATCH_BYTES):
-                yield batch.column(0), *text_bytes(batch.column(1))
-            return
+    stride = length * np.dtype(id_kind).itemsize
+    shards = Shards(folder, length, total, max(1, shard_bytes // stride, -(-total // SHARDS)), id_kind, end, key)
+    shards.declare()
+
+    def gathered(batches):
+        """Sequences' numbers, texts' ids, token ids of all texts, and where each text's begin; of several rows at once."""
+        held, size = [], 0
         for batch in batches:
             for k in range(batch.num_rows):
-                at = np.cumsum(np.append(0, np.asarray(batch.column(1).slice(k, 1).flatten())))
-                raw = codec().decompress(batch.column(2)[k].as_buffer(), int(at[-1]) * 2) if at[-1] else b""
-                yield batch.column(0).slice(k, 1).flatten(), np.frombuffer(raw, id_kind), at
+                n = np.asarray(batch.column(1).slice(k, 1).flatten())
+                raw = codec().decompress(batch.column(2)[k].as_buffer(), int(n.sum()) * np.dtype(id_kind).itemsize) if n.sum() else b""
+                begin = int(first.value[batch.column(4)[k].as_py()]) + batch.column(5)[k].as_py()
+                numbers = np.arange(begin, begin + batch.column(3)[k].as_py(), dtype=np.uint64)
+                held.append((numbers, batch.column(0).slice(k, 1).flatten(), np.frombuffer(raw, id_kind), n))
+                size += int(n.sum())
+                if size >= GATHERED:
+                    yield whole(held)
+                    held, size = [], 0
+        if held:
+            yield whole(held)
+
+    def whole(held):
+        numbers, names, raw, n = zip(*held)
+        return np.concatenate(numbers), pa.concat_arrays(names), np.concatenate(raw), np.cumsum(np.append(0, np.concatenate(n)))
 
     def run(batches):
-        task = TaskContext.get().partitionId()
-        at = first.get(task, 0)
-        for names, raw, starts in texts(batches):
+        for numbers, names, raw, starts in gathered(batches):
             ids, of, n = sequences(raw, starts, length, end)
-            slots = order.slots(np.arange(at, at + len(of), dtype=np.uint64))
-            at += len(of)
+            slots = order.slots(numbers)
             part = np.arange(len(of)) - np.searchsorted(of, of)
             # What goes to one shard goes together, for there it compresses.
-            shard = slots // shards.each
+            shard, place = np.divmod(slots, shards.each)
             by = np.argsort(shard, kind="stable")
             found, begin = np.unique(shard[by], return_index=True)
             ends = pa.array(np.append(begin, len(by)).astype(np.int32))
             take = pa.array(by)
-            lists = [x.take(take) for x in (pa.array(slots), names.take(pa.array(of)), pa.array(part.astype(np.int32)), pa.array(n.astype(np.int32)))]
+            lists = [x.take(take) for x in (pa.array(place.astype(np.int32)), names.take(pa.array(of)), pa.array(part.astype(np.int32)), pa.array(n.astype(np.int32)))]
             data = [codec().compress(ids[own].tobytes(), asbytes=True) for own in np.split(by, begin[1:])]
             columns = [pa.array(found.astype(np.int32)), *[pa.ListArray.from_arrays(ends, x) for x in lists], pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "slot", "id", "part", "n_ids", "ids"])
-        if at != first.get(task, 0) + sums.get(task, 0):
-            raise RuntimeError("the partitions of the input changed")
-
-    cut = (rows.select("id", "n", "ids") if path else rows).mapInArrow(run, f"shard int, slot array<long>, id array<{kind}>, part array<int>, n_ids array<int>, ids binary")
-    n = max(1, -(-total // shards.each))
-    dealt = cut.repartitionById(n, F.col("shard"))
-    fs, root = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(root, recursive=True)
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "place", "id", "part", "n_ids", "ids"])
+
+    cut = rows.mapInArrow(run, f"shard int, place array<int>, id array<{kind}>, part array<int>, n_ids array<int>, ids binary")
+    dealt = cut.repartitionById(max(1, -(-total // shards.each)), F.col("shard"))
     out = dealt.mapInArrow(_write(shards), f"id {kind}, part int, n_ids int, slot long, shard long, place long, crc32 long")
     return out.withColumnRenamed("id", id_col), shards
 

@@ -1,4 +1,5 @@
 import tempfile
+import zlib
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyweave.llm.common import written
-from tallyweave.llm.token_shards import END, Order, materialise
+from tallyweave.llm.token_shards import END, Order, Shards, materialise
 
 
 @settings(max_examples=60, deadline=None)
@@ -38,8 +39,9 @@ def test_round_trip(odd, length):
             data += texts[r["doc_id"], k][0]
             k += 1
         assert data == (r["text"] or "").encode() + bytes([END])
-    # Reading goes on from any slot.
-    assert np.array_equal(np.stack(list(shards.read(shards.total // 2))), np.stack(stored[shards.total // 2 :]))
+    # Reading goes on from any slot, by the folder alone.
+    again = Shards.open(shards.folder)
+    assert again == shards and np.array_equal(np.stack(list(again.read(shards.total // 2))), np.stack(stored[shards.total // 2 :]))
 
 
 def test_empty(none):
@@ -71,10 +73,43 @@ def test_ids_are_of_the_vocabulary(odd, length):
             assert want[k * length : (k + 1) * length] in parts[r["doc_id"], k]
 
 
-def test_query_stores_ids(spark, sf_dir):
-    from tallyweave.llm.token_shards import default_path, encoder, op9_shards
+def test_query_equals_brute_force(spark, sf_dir):
+    """All rows and all stored bytes of the query follow from the library's ids and the permutation."""
+    from tallyweave.llm import token_shards as S
 
-    encode = encoder(default_path())[0].encode_ordinary
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
-    rows = op9_shards(spark, sf_dir).collect()
-    assert sum(r["n_ids"] for r in rows) == sum(len(encode(d["text"] or "")) + 1 for d in docs)
+    encode = S.encoder(S.default_path())[0].encode_ordinary
+    docs = {d["doc_id"]: encode(d["text"] or "") + [50256] for d in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    folder = "file://" + tempfile.mkdtemp()
+    rows, shards = S.materialise(spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(5), folder, S.KEY, path=S.default_path())
+    rows = rows.collect()
+    want = {(k, p): ids[p * S.LENGTH : (p + 1) * S.LENGTH] for k, ids in docs.items() for p in range(-(-len(ids) // S.LENGTH))}
+    assert {(r["doc_id"], r["part"]) for r in rows} == set(want) and len(rows) == len(want) == shards.total
+    stored = list(shards.read())
+    for r in rows:
+        ids = want[r["doc_id"], r["part"]]
+        row = np.array(ids + [50256] * (S.LENGTH - len(ids)), "<u2")
+        assert r["n_ids"] == len(ids) and np.array_equal(stored[r["slot"]], row) and r["crc32"] == zlib.crc32(row.tobytes())
+    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    query = S.op9_shards(spark, sf_dir).collect()
+    assert sorted((r["doc_id"], r["part"], r["n_ids"], r["crc32"]) for r in query) == sorted((r["doc_id"], r["part"], r["n_ids"], r["crc32"]) for r in rows)
+
+
+def test_numbering_does_not_depend_on_how_ids_are_read_again(spark, odd, monkeypatch):
+    """Slots are the same when the written ids are scanned in other splits."""
+    docs = written(odd.repartition(3), "odd")
+    one = materialise(docs, "file://" + tempfile.mkdtemp(), 5, length=16)[0].collect()
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        lazy = materialise(docs, "file://" + tempfile.mkdtemp(), 5, length=16)[0]
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        two = lazy.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert len({r["slot"] for r in two}) == len(two) == len(one)
+
+
+def test_more_ids_than_two_bytes(monkeypatch):
+    from tallyweave.llm import token_shards as S
+
+    monkeypatch.setattr(S, "encoder", lambda path: (None, 70_000))
+    assert S.layout("x") == (70_000, "<u4") and S.layout(None) == (255, "u1")
