@@ -8,8 +8,9 @@
    bitmaps bound the overlap of two sets from above.  Pairs that the bound lets
    through make smaller families; only for these are texts read again, and their
    sorted arrays intersected exactly.  Pairs that are already connected are passed
-   over, for they change no component: first each block is connected in itself, then
-   what these links leave apart is compared across the blocks of its family.
+   over, for they change no component.  Of a family of many blocks each block is
+   connected in itself, and then only what these links leave apart is compared
+   across its blocks.
 4. Components of the verified links, and the least id in each.
 
 Defined results: null texts and texts without words have an empty set and link
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +43,8 @@ GATHERED = 1 << 20
 #: Sets, and shingles of all its sets, in a block of a tile or family.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 22
 
-#: Sets in a block of those that the links within blocks leave apart.
-CROSS = 1024
+#: Blocks of a family up to which all pairs of blocks are compared at once; sets in a block of those that the links within blocks leave apart.
+DIRECT, CROSS = 8, 1024
 
 #: A set with more than this share of all rows as its copies is one of few, so it is sent to the copies and not they to it.
 HOT_SHARE = 1 / 1000
@@ -108,7 +109,7 @@ def _gathered(batches, parts: int):
 
 
 def _shared(pairs: np.ndarray) -> np.ndarray:
-    """Tiles of two or more sets, each named by a hash of its sets: rows (tile, set), tiles of the same sets once."""
+    """Tiles of two or more sets, each named by a hash of its sets: rows (tile, set, sets of the tile), tiles of the same sets once."""
     order = np.lexsort((pairs["set"], pairs["key"]))
     key, own = pairs["key"][order], pairs["set"][order]
     first = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]
@@ -120,12 +121,12 @@ def _shared(pairs: np.ndarray) -> np.ndarray:
     some = some[np.unique(name[some], return_index=True)[1]]
     count = count[some]
     place = np.repeat(starts[some] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    return np.column_stack((np.repeat(name[some], count), own[place]))
+    return np.column_stack((np.repeat(name[some], count), own[place], np.repeat(count, count)))
 
 
 def _tiles(batches):
     """Documents pass; segment keys of a part become tiles."""
-    names = ["id", "n", "set", "bits", "label", "node"]
+    names = ["id", "n", "set", "bits", "label", "node", "m"]
     held: dict[int, list[bytes]] = {}
     id_type = pa.int64()
     for batch in batches:
@@ -133,7 +134,7 @@ def _tiles(batches):
         docs = batch.filter(batch.column(1).is_null())
         if docs.num_rows:
             none = pa.nulls(docs.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*docs.columns[2:], none, none], names)
+            yield pa.RecordBatch.from_arrays([*docs.columns[2:], none, none, none], names)
         for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if blob is not None:
                 held.setdefault(part, []).append(blob)
@@ -141,18 +142,19 @@ def _tiles(batches):
         rows = _shared(np.frombuffer(b"".join(held.pop(part)), _PAIR))
         if len(rows):
             none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), id_type), none, none, pa.nulls(len(rows), pa.binary()), pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy())], names)
+            columns = [pa.array(np.ascontiguousarray(rows[:, k])) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), id_type), none, none, pa.nulls(len(rows), pa.binary()), *columns], names)
 
 
 def _tokenised(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``id, n, set, bits`` of every document, and ``label, node`` of tiles and their sets."""
+    """``id, n, set, bits`` of every document, and ``label, node, m`` of tiles, their sets and the number of these."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.dtypes)["id"]
     gathered = docs.mapInArrow(lambda batches: _gathered(batches, parts), f"part int, blob binary, id {kind}, n long, set long, bits binary")
     dealt = gathered.repartitionById(parts, F.col("part"))
-    out = written(dealt.mapInArrow(_tiles, f"id {kind}, n long, set long, bits binary, label long, node long"), "jaccard-tiles")
-    return out.where("n IS NOT NULL").select("id", "n", "set", "bits"), out.where("label IS NOT NULL").select("label", "node").distinct()
+    out = written(dealt.mapInArrow(_tiles, f"id {kind}, n long, set long, bits binary, label long, node long, m long"), "jaccard-tiles")
+    return out.where("n IS NOT NULL").select("id", "n", "set", "bits"), out.where("label IS NOT NULL").select("label", "node", "m")
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
@@ -282,41 +284,46 @@ def _blocks_connected(sets: DataFrame, dealt: DataFrame) -> DataFrame:
     return rows.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_connected, "a long, b long")
 
 
-def _linked(sets: DataFrame, families: DataFrame, sizes: DataFrame | None = None, tag: str = "jaccard") -> DataFrame:
-    """``node, label`` of all sets that links within tiles or families connect; no link across blocks is lost.
+def _paired(own: DataFrame, at: Column, others: Column, known: Column) -> DataFrame:
+    """``set, family, i, j, side, known`` of every set for each pair of blocks of its family that its block, ``at``, is in; ``others``: the blocks paired with it."""
+    rows = own.select(F.col("node").alias("set"), F.col("label").alias("family"), at.cast("int").alias("at"), F.explode(others).alias("other"), known.alias("known"))
+    return rows.select("set", "family", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.when(F.col("at") > F.col("other"), 1).otherwise(0).alias("side"), "known")
 
-    Families of more than BLOCK sets are dealt into blocks twice, at random each
+
+def _linked(sets: DataFrame, member: DataFrame, tag: str) -> DataFrame:
+    """``node, label`` of all sets that links within tiles or families connect; no link is lost.
+
+    ``member``: ``label, node, blocks`` of families, their sets and the number of
+    blocks that each family is dealt into.  All pairs of up to DIRECT blocks are
+    compared.  Families of more blocks are dealt into blocks twice, at random each
     time, and what blocks connect is contracted.  Where that leaves a family in
-    several components, all sets outside its largest component are compared with
-    the whole family.  ``sizes``: ``node, n``, the sets' shingles, if blocks are to
-    be bounded by them too.
+    several components, all sets outside its largest component are compared with the
+    whole family.
     """
-    member = families if sizes is None else families.join(sizes, "node")
-    weight = F.greatest(F.count("*") / BLOCK, F.lit(0) if sizes is None else F.sum("n") / BLOCK_SHINGLES)
-    large = written(member.groupBy("label").agg(F.ceil(weight).cast("int").alias("blocks")).where("blocks > 1"), f"{tag}-large")
-    member = families.join(large, "label", "left")
-    block = lambda turn: F.pmod(F.xxhash64("node", "label", F.lit(turn)), F.col("blocks")).cast("int")
-    places = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
-    places = places.otherwise(F.array(*[F.struct(block(turn).alias("i"), F.lit(turn).alias("j")) for turn in (0, 1)]))
-    none, zero = F.lit(None).cast("long").alias("known"), F.lit(0).alias("side")
-    dealt = member.select(F.col("node").alias("set"), F.col("label").alias("family"), F.explode(places).alias("p"), zero, none).select("set", "family", "p.i", "p.j", "side", "known")
-    first = components(written(_blocks_connected(sets, dealt), f"{tag}-edges"))
-    if large.isEmpty():
-        return first
-    # Families of several blocks that are still in several components.
-    own = families.join(large, "label", "left_semi").join(first.withColumnRenamed("label", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    is_large = bool(member.where(F.col("blocks") > DIRECT).take(1))
+    member = member.distinct()
+    none = F.lit(None).cast("long")
+    block = lambda turn=0: F.pmod(F.xxhash64("node", "label", F.lit(turn)), F.col("blocks"))
+    direct = F.when(F.col("blocks") <= 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = _paired(member.where(F.col("blocks") <= DIRECT), block(), direct, none)
+    if not is_large:
+        return components(written(_blocks_connected(sets, dealt), f"{tag}-edges"))
+    large = member.where(F.col("blocks") > DIRECT)
+    turns = F.explode(F.array(*[F.struct(block(turn).cast("int").alias("i"), F.lit(turn).alias("turn")) for turn in (0, 1)]))
+    alone = large.select("node", "label", turns.alias("p")).select(F.col("node").alias("set"), F.col("label").alias("family"), F.col("p.i").alias("i"), (-1 - F.col("p.turn")).alias("j"), F.lit(0).alias("side"), none.alias("known"))
+    first = components(written(_blocks_connected(sets, dealt.unionByName(alone)), f"{tag}-edges"))
+    # Families of many blocks that are still in several components.
+    own = written(large.join(first.withColumnRenamed("label", "part"), "node", "left").withColumn("part", F.coalesce("part", "node")), f"{tag}-large")
     parts = own.groupBy("label", "part").agg(F.count("*").alias("m"))
     parts = parts.groupBy("label").agg(F.max(F.struct("m", "part")).alias("most"), F.sum("m").alias("m"), F.count("*").alias("parts")).where("parts > 1")
     apart = written(parts.select("label", F.col("most.part").alias("main"), F.ceil(F.col("most.m") / CROSS).cast("int").alias("mains"), F.ceil((F.col("m") - F.col("most.m")) / CROSS).cast("int").alias("others")), f"{tag}-apart")
     if apart.isEmpty():
         return first
-    own = own.join(apart, "label").withColumn("of_main", F.expr("part = main"))
-    place = F.xxhash64("node", "label")
-    at = F.when(F.col("of_main"), F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))).cast("int")
-    last = F.when(F.col("of_main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
-    dealt = own.select(F.col("node").alias("set"), F.col("label").alias("family"), at.alias("at"), F.explode(F.sequence(F.lit(0), last)).alias("other"), F.col("part").alias("known"))
-    dealt = dealt.select("set", "family", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.when(F.col("at") > F.col("other"), 1).otherwise(0).alias("side"), "known")
-    more = _blocks_connected(sets, dealt)
+    own = own.join(apart, "label")
+    main, place = F.col("part") == F.col("main"), F.xxhash64("node", "label")
+    at = F.when(main, F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others")))
+    last = F.when(main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
+    more = _blocks_connected(sets, _paired(own, at, F.sequence(F.lit(0), last), F.col("part")))
     return components(written(more.unionByName(first.select(F.col("node").alias("a"), F.col("label").alias("b"))), f"{tag}-edges"))
 
 
@@ -328,11 +335,14 @@ def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``id, n, set`` of every document; ``set, least, copies, label`` of every set that is not empty: its least id, its rows and its component."""
     known, tiles = _tokenised(rows)
     signed = known.where("bits IS NOT NULL").dropDuplicates(["set"]).select("set", "n", "bits", F.lit(None).cast("binary").alias("hashes"))
-    families = _linked(signed, tiles, tag="jaccard-bounded")
-    chosen = known.where("bits IS NOT NULL").join(families.select(F.col("node").alias("set")), "set").groupBy("set").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    families = _linked(signed, tiles.select("label", "node", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "jaccard-bounded")
+    # A set's least id and its family; the family's blocks are bounded by sets and by shingles.
+    chosen = known.where("bits IS NOT NULL").join(families.withColumnRenamed("node", "set"), "set").groupBy("set").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("label").alias("label"))
     chosen = written(chosen, "jaccard-chosen")
     sets = _sets(rows, _filter_of(chosen.select("id"))).dropDuplicates(["set"])
-    joined = _linked(sets, families, chosen.select(F.col("set").alias("node"), "n"), tag="jaccard-links")
+    weight = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    member = chosen.select("label", F.col("set").alias("node")).join(chosen.groupBy("label").agg(weight.alias("blocks")), "label")
+    joined = _linked(sets, member, "jaccard-links")
     known = known.select("id", "n", "set")
     classes = known.where("n > 0").groupBy("set").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     return known, classes.join(joined.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))

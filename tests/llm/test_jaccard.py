@@ -138,20 +138,23 @@ def one_group(n, words=300, seed=6):
     return rows
 
 
-def test_edges_of_a_large_group_follow_its_sets(spark, monkeypatch):
-    """Blocks of 3,000 near copies give a few edges for each set, not one for each pair or tile, and the group is one component."""
+@pytest.mark.parametrize("direct", [2, 100])
+def test_edges_of_a_large_group_follow_its_sets(spark, monkeypatch, direct):
+    """Blocks of 1,200 near copies give a few edges for each set, not one for each pair or tile, and the group is one component."""
+    monkeypatch.setattr(jaccard, "DIRECT", direct)
     seen = []
     plain = jaccard.components
     monkeypatch.setattr(jaccard, "components", lambda edges: seen.append(edges.count()) or plain(edges))
-    df = spark.createDataFrame(one_group(3000), "doc_id long, text string").repartition(16)
+    df = spark.createDataFrame(one_group(1200, 120), "doc_id long, text string").repartition(8)
     got = jaccard.jaccard_join(df).collect()
-    assert {r["component_id"] for r in got} == {0} and len(got) == 3000
-    assert seen and max(seen) <= 24 * 3000
+    assert {r["component_id"] for r in got} == {0} and len(got) == 1200
+    assert seen and max(seen) <= 8 * 1200
 
 
 def test_sets_that_blocks_leave_apart(spark, monkeypatch):
     """Chains of links between sets that lie in different blocks are found across them."""
     monkeypatch.setattr(jaccard, "BLOCK", 2)
+    monkeypatch.setattr(jaccard, "DIRECT", 2)
     monkeypatch.setattr(jaccard, "CROSS", 3)
     rows = []
     for chain in range(3):
