@@ -18,11 +18,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def forward(gates: np.ndarray, weights: np.ndarray, bias: np.ndarray, start: np.ndarray, keep: bool = False):
+def forward(gates: np.ndarray, weights: np.ndarray, bias: np.ndarray, start: np.ndarray, keep: bool = False, alive: np.ndarray | None = None):
     """States of a unit over inputs ``gates`` (T, 3H, B), which already hold input weights and bias.
 
     ``weights`` (3H, H): of update, reset and candidate, ``bias`` (H, 1): of the
     candidate's recurrent part.  ``keep``: also what ``backward`` needs.
+    ``alive`` (T, B): 0 where a step begins anew, with a state of zeros, 1 elsewhere.
     """
     steps, h3, batch = gates.shape
     h = h3 // 3
@@ -31,7 +32,7 @@ def forward(gates: np.ndarray, weights: np.ndarray, bias: np.ndarray, start: np.
     kept = np.empty((steps, 4 * h, batch), np.float32) if keep else None
     both = np.empty((h3, batch), np.float32)
     for t in range(steps):
-        now = states[t]
+        now = states[t] if alive is None else states[t] * alive[t]
         np.dot(weights, now, out=both)
         g = gates[t]
         zr = both[: 2 * h]
@@ -55,9 +56,10 @@ def forward(gates: np.ndarray, weights: np.ndarray, bias: np.ndarray, start: np.
     return (states, kept) if keep else states
 
 
-def backward(d_states: np.ndarray, states: np.ndarray, kept: np.ndarray, weights: np.ndarray):
+def backward(d_states: np.ndarray, states: np.ndarray, kept: np.ndarray, weights: np.ndarray, alive: np.ndarray | None = None):
     """Gradients of inputs, weights and bias from those of the states 1 to T."""
     steps, h, batch = d_states.shape
+    before = states[:-1] if alive is None else states[:-1] * alive[:, None]
     d_gates = np.empty((steps, 3 * h, batch), np.float32)
     d_recurrent = np.empty((steps, 3 * h, batch), np.float32)
     carry = np.zeros((h, batch), np.float32)
@@ -66,14 +68,16 @@ def backward(d_states: np.ndarray, states: np.ndarray, kept: np.ndarray, weights
         d = d_states[t] + carry
         dc = d * (1 - z) * (1 - c * c)
         dg = d_gates[t]
-        dg[:h] = d * (states[t] - c) * z * (1 - z)
+        dg[:h] = d * (before[t] - c) * z * (1 - z)
         dg[h : 2 * h] = dc * rec * r * (1 - r)
         dg[2 * h :] = dc
         dr = d_recurrent[t]
         dr[: 2 * h] = dg[: 2 * h]
         dr[2 * h :] = dc * r
         carry = d * z + weights.T @ dr
-    d_weights = np.tensordot(d_recurrent, states[:-1], axes=((0, 2), (0, 2)))
+        if alive is not None:
+            carry *= alive[t]
+    d_weights = np.tensordot(d_recurrent, before, axes=((0, 2), (0, 2)))
     return d_gates, d_weights, d_recurrent[:, 2 * h :].sum((0, 2))[:, None]
 
 

@@ -16,18 +16,23 @@ most frequent ones, and the network begins with the exact frequencies of classes
 and head words.  It is trained in numpy by truncated backpropagation through time,
 first on a bounded sample of training documents, which all tasks begin from, then
 by every task on all of its training documents, whole; the tasks' weights are
-averaged by their tokens.  LISTED words are counted by number when texts are
+averaged by their tokens.  Documents are read side by side in lanes, one after the
+other in each, with a state of zeros at each one's beginning.  LISTED words are counted by number when texts are
 scored, all others through a shuffle by hash; both counts are exact.
 
 Defined results: null and empty texts have the end alone.  Without training
-documents N is 0, V is 0, and the network is the untrained one.  Equal texts get
-equal scores.  Only the named columns are read, so other columns never clash.
+documents N is 0, V is 0, and the network is the untrained one.  Texts of any length
+are scored whole.  Equal texts, repeated rows among them, get equal base scores, and
+equal scores but for the rounding of sums in 32 bits.  An empty table gives no rows.
+Only the named columns are read, so other columns never clash.
 Words are told apart by 58 bits of a hash and 6 of their shape.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +59,11 @@ HIDDEN, WINDOW, SIDE = 24, 32, 192
 #: Training on the sample: updates, documents side by side, rate.
 UPDATES, TRAIN_SIDE, RATE = 700, 64, 0.01
 
-#: Rate of the training on all documents.
-REST_RATE = 0.002
+#: Rate of the training on all documents; tokens that a task gathers to deal them to lanes.
+REST_RATE, LANED = 0.002, 2 << 20
+
+#: Tokens whose probabilities are computed at a time; size of logits up to which exponentials need no care.
+AT_ONCE, SAFE = 2048, 60
 
 #: Bytes of text that a worker takes at a time; words that a task gathers before it deals them out.
 BATCH_BYTES, GATHERED = 2 << 20, 1 << 20
@@ -126,64 +134,119 @@ class LanguageModel:
         """Input gates of tokens (T, B)."""
         return np.ascontiguousarray(self.params["in"][inputs].transpose(0, 2, 1))
 
-    def token_scores(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target's class, and for head words of the word in it: of states (H, n)."""
+    def bound(self) -> float:
+        """What no logit's size exceeds: states are within -1 and 1."""
+        p = self.params
+        return float(max(np.abs(p[k]).sum(-1).max() + np.abs(p[f"{k}_bias"]).max() for k in ("class", "word")))
+
+    def token_scores(self, states: np.ndarray, targets: np.ndarray, safe: bool = False) -> np.ndarray:
+        """Natural log probability of each target's class, and for head words of the word in it: of states (H, n).
+
+        ``safe``: the logits are known to be small enough for their exponentials.
+        """
         p = self.params
         kind = _class_of(targets)
         logits = p["class"] @ states
         logits += p["class_bias"]
-        logits -= logits.max(0)
+        if not safe:
+            logits -= logits.max(0)
         out = logits[kind, np.arange(len(kind))].astype(np.float64)
         np.exp(logits, out=logits)
-        out -= np.log(logits.sum(0))
-        head = np.flatnonzero(targets < _HEAD)
-        order = head[np.argsort(kind[head], kind="stable")]
+        out -= np.log(_ones(_OUTPUTS) @ logits)
+        order = np.argsort(kind.astype(np.int16), kind="stable")
         ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            own = order[ends[k] : ends[k + 1]]
-            if len(own):
-                z = p["word"][k] @ states[:, own] + p["word_bias"][k][:, None]
-                z -= z.max(0)
-                out[own] += z[targets[own] % CLASS_WORDS, np.arange(len(own))]
+        order = order[: ends[-1]]
+        now, word = states[:, order], targets[order] % CLASS_WORDS
+        of, total, one = np.empty(len(order), np.float32), np.empty(len(order), np.float32), _ones(CLASS_WORDS)
+        for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+            if a < b:
+                z = p["word"][k] @ now[:, a:b]
+                z += p["word_bias"][k][:, None]
+                if not safe:
+                    z -= z.max(0)
+                of[a:b] = z[word[a:b], np.arange(b - a)]
                 np.exp(z, out=z)
-                out[own] -= np.log(z.sum(0))
+                np.dot(one, z, out=total[a:b])
+        out[order] += of - np.log(total)
         return out
 
     def documents(self, inputs: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Summed token scores of documents, whose tokens (ends included) lie one document after the other.
 
-        Documents are read side by side, a window at a time; whoever ends makes
-        room for the next, and states are carried from window to window.
+        Documents are read side by side in lanes, a window at a time; states are
+        carried from window to window, and begin anew where a document does.
         """
         p, n = self.params, len(at) - 1
         total = np.zeros(n)
-        queue = np.argsort(-np.diff(at), kind="stable").tolist()[::-1]
-        doc, place = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        state = np.zeros((HIDDEN, 0), np.float32)
-        last = np.zeros(0, np.int64)
-        steps = np.arange(WINDOW)[:, None]
-        while queue or len(doc):
-            new = np.array([queue.pop() for _ in range(min(SIDE - len(doc), len(queue)))], np.int64)
-            if len(new):
-                doc, place = np.append(doc, new), np.append(place, at[new])
-                state = np.hstack((state, np.zeros((HIDDEN, len(new)), np.float32)))
-                last = np.append(last, np.full(len(new), _END))
-            where = place + steps
-            inside = where < at[doc + 1]
-            targets = np.where(inside, inputs[np.minimum(where, len(inputs) - 1)], _END)
-            seen = np.vstack((last, targets[:-1]))
-            states = forward(self.gates(seen), p["rec"], p["bias"], state)
-            some = np.flatnonzero(inside.ravel())
+        safe = self.bound() < SAFE
+        order, lane_at = lanes(np.diff(at), SIDE)
+        owner = np.repeat(order, np.diff(at)[order])
+        for targets, inside, alive, state, last, place, done in windows(inputs, at, order, lane_at):
+            states = forward(self.gates(np.vstack((last, targets[:-1]))), p["rec"], p["bias"], state, alive=alive)
             # A target is told by the state after the token before it.
             flat = states[1:].transpose(1, 0, 2).reshape(HIDDEN, -1)
-            scores = self.token_scores(np.ascontiguousarray(flat[:, some]), targets.ravel()[some])
-            np.add.at(total, np.broadcast_to(doc, inside.shape).ravel()[some], scores)
-            place = place + WINDOW
-            go = place < at[doc + 1]
-            doc, place, state, last = doc[go], place[go], np.ascontiguousarray(states[-1][:, go]), targets[-1][go]
+            goal, whose = targets.ravel(), place.ravel()
+            if not inside.all():
+                some = np.flatnonzero(inside.ravel())
+                flat, goal, whose = np.ascontiguousarray(flat[:, some]), goal[some], whose[some]
+            scores = np.concatenate([self.token_scores(np.ascontiguousarray(flat[:, k : k + AT_ONCE]), goal[k : k + AT_ONCE], safe) for k in range(0, len(goal), AT_ONCE)])
+            total += np.bincount(owner[whose], scores, n)
+            done(states[-1])
         return total
 
 
+@lru_cache(maxsize=4)
+def _ones(n: int) -> np.ndarray:
+    return np.ones(n, np.float32)
+
+
+def lanes(sizes: np.ndarray, most: int, rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Documents dealt to ``most`` lanes of about the same number of tokens: their order, and where each lane begins, the longest first.
+
+    ``rng``: deals the documents of a lane in any order, not by length.
+    """
+    n = min(most, len(sizes))
+    heap = [(0, k) for k in range(n)]
+    own: list[list[int]] = [[] for _ in range(n)]
+    for doc in np.argsort(-sizes, kind="stable").tolist():
+        load, k = heap[0]
+        own[k].append(doc)
+        heapq.heapreplace(heap, (load + int(sizes[doc]), k))
+    loads = {k: load for load, k in heap}
+    ranked = sorted(range(n), key=lambda k: -loads[k])
+    if rng is not None:
+        own = [rng.permutation(x).tolist() for x in own]
+    order = np.array([doc for k in ranked for doc in own[k]], np.int64)
+    return order, np.cumsum([0, *(loads[k] for k in ranked)])
+
+
+def windows(inputs: np.ndarray, at: np.ndarray, order: np.ndarray, lane_at: np.ndarray):
+    """Windows over lanes: targets (T, B), which are inside, where documents go on, states and tokens before, places in the lanes' order, and what takes the states after.
+
+    Lanes that have ended go.
+    """
+    sizes = np.diff(at)[order]
+    starts = np.cumsum(sizes) - sizes
+    stream = inputs[np.repeat(at[:-1][order] - starts, sizes) + np.arange(int(sizes.sum()))]
+    goes_on = np.ones(len(stream), np.float32)
+    goes_on[starts] = 0
+    place, end = lane_at[:-1].copy(), lane_at[1:]
+    state, last = np.zeros((HIDDEN, len(place)), np.float32), np.full(len(place), _END)
+    steps = np.arange(WINDOW)[:, None]
+    held = {}
+    while len(place):
+        # Lanes get shorter, so the last window is as long as the longest lane needs.
+        where = place + steps[: min(WINDOW, int((end - place).max()))]
+        inside = where < end
+        where = np.minimum(where, len(stream) - 1)
+        targets = np.where(inside, stream[where], _END)
+        yield targets, inside, goes_on[where], state, last, where, lambda after: held.update(state=after)
+        place = place + len(where)
+        go = place < end
+        state, last = np.ascontiguousarray(held["state"][:, go]), targets[-1][go]
+        place, end = place[go], end[go]
+
+
 def new_params(rng: np.random.Generator, counts: np.ndarray) -> dict[str, np.ndarray]:
     """First weights; the last biases are the frequencies of ``counts``, so the network begins as those."""
     h = HIDDEN
@@ -195,38 +258,63 @@ def new_params(rng: np.random.Generator, counts: np.ndarray) -> dict[str, np.nda
     }
 
 
-def _update(model: LanguageModel, adam: Adam, targets: np.ndarray, mask: np.ndarray, state: np.ndarray, last: np.ndarray, rate: float) -> np.ndarray:
+def _likelier(logits: np.ndarray, safe: bool) -> np.ndarray:
+    """Probabilities of logits (n, tokens), in place."""
+    if not safe:
+        return softmax(logits, axis=0)
+    np.exp(logits, out=logits)
+    logits *= np.reciprocal(_ones(len(logits)) @ logits)
+    return logits
+
+
+def _update(
+    model: LanguageModel, adam: Adam, targets: np.ndarray, mask: np.ndarray, state: np.ndarray, last: np.ndarray, rate: float, alive: np.ndarray | None = None
+) -> np.ndarray:
     """One update from a window (T, B) of documents side by side; the states after it."""
     p, side = model.params, targets.shape[1]
+    safe = model.bound() < SAFE
     seen = np.vstack((last, targets[:-1]))
-    states, kept = forward(model.gates(seen), p["rec"], p["bias"], state, keep=True)
+    states, kept = forward(model.gates(seen), p["rec"], p["bias"], state, keep=True, alive=alive)
     some = np.flatnonzero(mask.ravel())
-    flat = np.ascontiguousarray(states[1:].transpose(1, 0, 2).reshape(HIDDEN, -1)[:, some])
-    goal, weight = targets.ravel()[some], np.float32(1 / max(1, len(some)))
+    # In the order of classes, so that each class's words are one run.
+    goal = targets.ravel()[some]
     kind = _class_of(goal)
-    d = softmax(p["class"] @ flat + p["class_bias"], axis=0)
-    d[kind, np.arange(len(kind))] -= 1
-    d *= weight
-    grads = {"class": d @ flat.T, "class_bias": d.sum(1, keepdims=True), "word": np.zeros_like(p["word"]), "word_bias": np.zeros_like(p["word_bias"])}
-    d_flat = p["class"].T @ d
-    order = np.argsort(kind, kind="stable")
-    ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        own = order[ends[k] : ends[k + 1]]
-        if len(own):
-            now = flat[:, own]
-            e = softmax(p["word"][k] @ now + p["word_bias"][k][:, None], axis=0)
-            e[goal[own] % CLASS_WORDS, np.arange(len(own))] -= 1
-            e *= weight
+    by = np.argsort(kind.astype(np.int16), kind="stable")
+    some, goal, kind = some[by], goal[by], kind[by]
+    ends = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+    flat = states[1:].transpose(1, 0, 2).reshape(HIDDEN, -1)[:, some]
+    weight = np.float32(1 / max(1, len(some)))
+    grads = {"class": 0, "class_bias": 0, "word": np.zeros_like(p["word"]), "word_bias": np.zeros_like(p["word_bias"])}
+    d_flat = np.empty_like(flat)
+    for a in range(0, len(some), AT_ONCE):
+        part = slice(a, a + AT_ONCE)
+        now = flat[:, part]
+        d = p["class"] @ now
+        d += p["class_bias"]
+        d = _likelier(d, safe)
+        d[kind[part], np.arange(d.shape[1])] -= 1
+        grads["class"] = grads["class"] + d @ now.T
+        grads["class_bias"] = grads["class_bias"] + (d @ _ones(d.shape[1]))[:, None]
+        d_flat[:, part] = p["class"].T @ d
+    for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+        if a < b:
+            now = flat[:, a:b]
+            e = p["word"][k] @ now
+            e += p["word_bias"][k][:, None]
+            e = _likelier(e, safe)
+            e[goal[a:b] % CLASS_WORDS, np.arange(b - a)] -= 1
             grads["word"][k], grads["word_bias"][k] = e @ now.T, e.sum(1)
-            d_flat[:, own] += p["word"][k].T @ e
+            d_flat[:, a:b] += p["word"][k].T @ e
+    for k in ("class", "class_bias", "word", "word_bias"):
+        grads[k] = grads[k] * weight
+    d_flat *= weight
     d_all = np.zeros((HIDDEN, mask.size), np.float32)
     d_all[:, some] = d_flat
     d_states = np.ascontiguousarray(d_all.reshape(HIDDEN, -1, side).transpose(1, 0, 2))
-    d_in, grads["rec"], grads["bias"] = backward(d_states, states, kept, p["rec"])
+    d_in, grads["rec"], grads["bias"] = backward(d_states, states, kept, p["rec"], alive)
     # Rows of one input are added up in the order of inputs.
     rows, inputs = d_in.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN), seen.ravel()
-    by = np.argsort(inputs, kind="stable")
+    by = np.argsort(inputs.astype(np.int16), kind="stable")
     found, first = np.unique(inputs[by], return_index=True)
     grads["in"] = np.zeros_like(p["in"])
     grads["in"][found] = np.add.reduceat(rows[by], first)
@@ -264,31 +352,25 @@ def train(listing: Listing, texts: list[np.ndarray], updates: int = UPDATES, see
     return model
 
 
-def train_on(model: LanguageModel, texts) -> int:
+def train_on(model: LanguageModel, texts, seed: int = 19) -> int:
     """Train the network once with every token of all documents, which come as ``train`` takes them; the number of tokens."""
-    adam, texts, tokens = Adam(model.params, REST_RATE), iter(texts), 0
-    own: list[np.ndarray] = []
-    place, last, state = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((HIDDEN, 0), np.float32)
-    while True:
-        while len(own) < SIDE and (text := next(texts, None)) is not None:
-            own.append(text)
-        new = len(own) - len(place)
-        place, last = np.append(place, np.zeros(new, np.int64)), np.append(last, np.full(new, _END))
-        state = np.hstack((state, np.zeros((HIDDEN, new), np.float32)))
-        if not own:
-            return tokens
-        targets = np.full((WINDOW, len(own)), _END)
-        mask = np.zeros((WINDOW, len(own)), bool)
-        for k, text in enumerate(own):
-            part = text[place[k] : place[k] + WINDOW]
-            targets[: len(part), k], mask[: len(part), k] = part, True
-        n = int(mask.sum())
-        # A window of few tokens, as at the end of a task, moves the weights less.
-        state = _update(model, adam, targets, mask, state, last, REST_RATE * n / (WINDOW * SIDE))
-        tokens += n
-        place += WINDOW
-        go = np.flatnonzero(place < [len(text) for text in own])
-        own, place, last, state = [own[k] for k in go], place[go], targets[-1][go], np.ascontiguousarray(state[:, go])
+    adam, rng, tokens = Adam(model.params, REST_RATE), np.random.default_rng(seed), 0
+
+    def learn(own: list[np.ndarray]) -> int:
+        inputs, at = np.concatenate(own), np.cumsum([0, *map(len, own)])
+        for targets, inside, alive, state, last, _, done in windows(inputs, at, *lanes(np.diff(at), SIDE, rng)):
+            # A window of few tokens, as at the end of a task, moves the weights less.
+            done(_update(model, adam, targets, inside, state, last, REST_RATE * float(inside.sum()) / (WINDOW * SIDE), alive))
+        return len(inputs)
+
+    own, size = [], 0
+    for text in texts:
+        own.append(text)
+        size += len(text)
+        if size >= LANED:
+            tokens += learn(own)
+            own, size = [], 0
+    return tokens + (learn(own) if own else 0)
 
 
 def _flat(params: dict[str, np.ndarray]) -> np.ndarray:
@@ -607,23 +689,38 @@ def score_language_model(docs: DataFrame, model: LanguageModel, learn: Column, i
 
     def run(batches):
         net, log_of, known_of, rest_of = held.value
+        gathered, tokens = [], 0
+
+        def scored():
+            sizes = np.concatenate([size + 1 for _, _, size, *_ in gathered])
+            total = net.documents(np.concatenate([x[-1] for x in gathered]), np.r_[0, np.cumsum(sizes)]) / np.log(10)
+            at = 0
+            for ids, keys, size, known, base, within, _ in gathered:
+                own = total[at : at + len(size)] + within
+                at += len(size)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(keys), pa.array(size + 1), pa.array(known), pa.array(base), pa.array(own)], ["id", "key", "n", "k", "base", "own"])
+
         for batch in grouped_by_bytes(batches, 1, BATCH_BYTES):
             raw, at = text_bytes(batch.column(1))
             hashes, of = tokens_of(raw, at)
             n_rows = len(at) - 1
-            inputs, ends, numbers = _with_ends(net.listing, hashes, of, n_rows)
+            inputs, _, numbers = _with_ends(net.listing, hashes, of, n_rows)
             read = inputs[np.arange(len(hashes)) + of]
-            size = np.bincount(of, minlength=n_rows)
-            total = net.documents(inputs, np.r_[0, ends]) / np.log(10)
+            size = np.bincount(of, minlength=n_rows).astype(np.int64)
             logs = np.where(numbers >= 0, log_of[numbers], 0.0)
             base = np.bincount(of, logs, n_rows) + log_of[-1]
             in_shape = read >= _HEAD
             within = np.bincount(of, np.where(in_shape, logs - rest_of[np.where(in_shape, read - _HEAD, 0)], 0.0), n_rows)
             known = np.bincount(of, known_of[numbers], n_rows).astype(np.int64) + (log_of[-1] > np.log10(0.5))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(text_keys(raw, at)), pa.array((size + 1).astype(np.int64)), pa.array(known), pa.array(base), pa.array(total + within)],
-                ["id", "key", "n", "k", "base", "own"],
-            )
+            # The ids are copied, so that the batch with its texts can go.
+            ids = pa.concat_arrays([batch.column(0).take(pa.array(np.arange(n_rows)))])
+            gathered.append((ids, text_keys(raw, at), size, known, base, within, inputs))
+            tokens += len(inputs)
+            if tokens >= LANED:
+                yield from scored()
+                gathered, tokens = [], 0
+        if gathered:
+            yield from scored()
 
     scored = rows.select("id", "body").mapInArrow(run, f"id {kind}, key long, n long, k long, base double, own double")
     sums = answers.where("kind = 2").repartitionById(n, F.col("part")).mapInArrow(_added, "key long, log double, known long")
