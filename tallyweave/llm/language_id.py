@@ -3,12 +3,15 @@
 A bidirectional gated recurrent network reads bytes in windows, labels every
 position with the probabilities of the languages, and a document's probabilities
 are the mean over all its positions.  It is trained in numpy by backpropagation
-through time, on windows of a bounded sample of documents with a language.
+through time, on windows of a bounded sample of documents with a language; every
+language that a document to learn from has is learned.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0,
-whatever the network says.  Rows without a language are not learned from.  If no
-row has one, every text is ``und``.  Equal texts get equal results.  Only the
-named columns are read, so other columns never clash.
+whatever the network says; a text of any length is read whole.  Rows without a
+language are not learned from.  If no row has one, every text is ``und``.  Of equal
+probabilities the first language by name counts.  Repeated rows each get a row; equal
+texts get equal results but for the rounding of sums in 32 bits.  An empty table
+gives no rows.  Only the named columns are read, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -23,12 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import filter_texts, grouped_by_bytes, held_out, spread, table, text_bytes
 from .gru import Adam, backward, forward, glorot, softmax
+from .hashing import mix, span_hashes
 
-#: Documents of each language that are learned from, at most, and windows of each of them.
-SAMPLE, SAMPLE_WINDOWS = 1000, 4
-
-#: Languages that are learned, at most: the most frequent ones.
-LANGUAGES = 64
+#: Documents of each language that are learned from, at most, and windows of all of them: any windows of theirs, wherever they are.
+SAMPLE, SAMPLE_WINDOWS = 1000, 16_000
 
 #: Bytes of a window, state of each direction.
 WINDOW, HIDDEN = 96, 8
@@ -134,35 +135,48 @@ def fit_language(docs: DataFrame, learn: Column, text_col: str = "text", lang_co
     """A model of the rows where ``learn`` holds and the language is not null.
 
     The sample: of each language the documents whose ids have the least hashes,
-    ``sample`` at most, and SAMPLE_WINDOWS windows, dealt evenly over the whole text, of each.
+    ``sample`` at most; of all their windows SAMPLE_WINDOWS at most, those with the
+    least hashes of text, id and place, about as many as the training draws.
     """
     known = docs.where(learn).where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    names = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
-    if not names:
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not counts:
         return LanguageModel([], {})
     # Least hashes by language in one pass of partial sums: a threshold for each language that passes about twice the sample.
-    counts = {r["lang"]: r["count"] for r in known.where(F.col("lang").isin(names)).groupBy("lang").count().collect()}
-    limit = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, (2 * sample + 100) / counts[k]))])
-    unit = (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u")
+    spark = docs.sparkSession
+    limit = spark.createDataFrame([(k, min(1.0, (2 * sample + 100) / n)) for k, n in sorted(counts.items())], "lang string, limit double")
+    unit = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = docs.where(learn).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("body"))
-    rows = rows.where(F.col("lang").isin(names)).select("id", "lang", "body", unit).where(F.col("u") < limit[F.col("lang")])
+    rows = rows.select("id", "lang", "body", unit.alias("u")).join(F.broadcast(limit), "lang").where("u < limit")
+    # What is drawn: documents by their hashes, repeated ids and null ids as one document each; of theirs a share of all windows.
+    size = F.octet_length("body").alias("size")
+    drawn = rows.groupBy("lang", "u").agg(F.sum(F.ceil(size / WINDOW)).alias("windows"), F.count("*").alias("rows")).toPandas().sort_values(["lang", "u"], kind="stable")
+    shares = []
+    for lang, own in drawn.groupby("lang", sort=True):
+        own = own[own["rows"].cumsum() - own["rows"] < sample]
+        shares.append((lang, float(own["u"].max()), min(1.0, 1.2 * SAMPLE_WINDOWS / max(1.0, float(own["windows"].sum())))))
+    share = spark.createDataFrame(shares, "lang string, last double, share double")
+    rows = rows.drop("limit").join(F.broadcast(share), "lang").where("u <= last").select("lang", "body", "u", "share")
 
     def run(batches):
         for batch in batches:
-            for piece in grouped_by_bytes([batch], 2, BATCH_BYTES):
-                windows, sizes, of = cut(*text_bytes(piece.column(2)))
+            for piece in grouped_by_bytes([batch], 1, BATCH_BYTES):
+                raw, at = text_bytes(piece.column(1))
+                windows, sizes, of = cut(raw, at)
                 if not len(of):
                     continue
-                first = np.r_[0, np.flatnonzero(np.diff(of)) + 1]
-                count = np.diff(np.r_[first, len(of)])
-                take = np.unique(np.concatenate([first + count * k // SAMPLE_WINDOWS for k in range(SAMPLE_WINDOWS)]))
+                place = np.arange(len(of)) - np.searchsorted(of, of)
+                text = span_hashes(raw, at[:-1], at[1:], lower=False)
+                u, share = np.asarray(piece.column(2)), np.asarray(piece.column(3))
+                drawn = mix(text[of] + mix(u[of].view(np.uint64) + place.astype(np.uint64))) / 2.0**64
+                take = np.flatnonzero(drawn < share[of])
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(1).take(pa.array(of[take])), piece.column(3).take(pa.array(of[take])), pa.array(sizes[take]), pa.array([windows[:, k].tobytes() for k in take], pa.binary())],
+                    [piece.column(0).take(pa.array(of[take])), pa.array(drawn[take]), pa.array(sizes[take]), pa.array([windows[:, k].tobytes() for k in take], pa.binary())],
                     ["lang", "u", "size", "window"],
                 )
 
     got = rows.mapInArrow(run, "lang string, u double, size long, window binary").toArrow().to_pandas().sort_values(["u", "window"], kind="stable")
-    got = got.groupby("lang", sort=True).head(sample * SAMPLE_WINDOWS)
+    got = got.groupby("lang", sort=True).head(SAMPLE_WINDOWS)
     names = sorted(set(got["lang"]))
     if not names:
         return LanguageModel([], {})
