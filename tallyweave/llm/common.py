@@ -19,34 +19,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir``.  Where that is unset, as in tests on one
-    machine, a temporary folder of this machine takes its place.
+    It is ``spark.checkpoint.dir``.  Where that is unset and Spark runs on this machine
+    alone, as in tests, a temporary folder of this machine takes its place; on a
+    cluster it has to be set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def temporary(spark: SparkSession, path: str) -> None:
+    """Have Spark delete a folder, which is there, when its driver ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
-    This cuts the lineage: what follows reads files that outlive executors.
+    This cuts the lineage: what follows reads files that outlive executors.  The files
+    go when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    temporary(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def planned_parts(df: DataFrame) -> int:
+    """About how many tasks read a table, by its size; 0 for what Spark knows no size of, which is no table."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 0 if size >= 1 << 60 else size // spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows to all cores if the input has fewer files than there are cores.
+    """Deal rows to all cores if the input is small and has fewer files than there are cores.
 
-    A large table has many files and is left alone, so no text is shuffled.
+    A table whose bytes make enough tasks by themselves is left alone, whatever its
+    files, so of a large table no text is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if planned_parts(df) < cores and len(df.inputFiles()) < cores else df
 
 
 def held_out(id_col: str, k: int, rest: int) -> Column:

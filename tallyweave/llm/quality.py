@@ -6,10 +6,11 @@ equations, the sums are added, and ridge scores follow.  Isotonic regression on
 a part of the training rows that the equations do not see calibrates them.
 
 Defined results: null and empty texts have the statistics of no words and get a
-score like any other.  Labels that are null, or belong to no document, are
-ignored; several labels of a document all count.  Without labels of both kinds
-every score is the labels' mean, or 0.5.  Equal texts get equal scores.  Only
-the named columns are read, so other columns never clash.
+score like any other; texts of any length are read whole.  Labels that are null, or
+belong to no document, are ignored; several labels of a document all count.  Without
+labels of both kinds every score is the labels' mean, or 0.5.  Repeated rows each get
+a row; equal texts get equal scores but for the rounding of sums.  An empty table
+gives no rows.  Only the named columns are read, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filter_texts, grouped_by_bytes, held_out, spread, table, text_bytes, written
+from .common import filter_texts, grouped_by_bytes, held_out, planned_parts, spread, table, text_bytes, written
 from .hashing import span_hashes, word_spans
 
 #: Random Fourier features, ridge weight for each training row, and bins of the calibration.
 FEATURES, RIDGE, BINS = 256, 1e-4, 512
 
-#: Partial sums that reach the driver, at most.
-SUMS = 16
+#: Partial sums that reach the driver, at most, and that one task adds up, about.
+SUMS, FAN_IN = 16, 64
 
 #: Every so many-th training row calibrates.
 CALIBRATES = 4
@@ -117,15 +118,15 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def partition_sums(df: DataFrame, of, shape: tuple[int, ...]) -> np.ndarray:
     """The sum over all batches of what ``of`` gives for one, as an array of a fixed shape.
 
-    Each task adds up its batches, then SUMS tasks add up theirs; only these sums reach the driver.
+    Each task adds up its batches.  Tasks add up about FAN_IN of these sums each, in
+    as many levels as the table's size asks for; SUMS of them reach the driver.
     """
 
     def run(batches):
         total = np.zeros(shape)
         for batch in batches:
             total += of(batch)
-        task = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([task % SUMS], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["k", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["k", "v"])
 
     def add(groups):
         total, k = np.zeros(shape), None
@@ -135,9 +136,18 @@ def partition_sums(df: DataFrame, of, shape: tuple[int, ...]) -> np.ndarray:
                 total += np.frombuffer(v).reshape(shape)
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["k", "v"])
 
-    partial = df.mapInArrow(run, "k int, v binary")
-    summed = partial.groupBy("k").applyInArrow(lambda t: _one(add, t), "k int, v binary")
-    return sum((np.frombuffer(r["v"]).reshape(shape) for r in summed.collect()), np.zeros(shape))
+    sums = df.mapInArrow(run, "k int, v binary")
+    for n in levels(planned_parts(df)):
+        sums = sums.select((F.col("k") % n).alias("k"), "v").groupBy("k").applyInArrow(lambda t: _one(add, t), "k int, v binary")
+    return sum((np.frombuffer(r["v"]).reshape(shape) for r in sums.collect()), np.zeros(shape))
+
+
+def levels(parts: int) -> list[int]:
+    """Sums of each level that adds up those of so many parts; the last has SUMS."""
+    found = []
+    while (parts := parts // FAN_IN) > SUMS:
+        found.append(parts)
+    return [*found, SUMS]
 
 
 def _one(add, t: pa.Table) -> pa.Table:
