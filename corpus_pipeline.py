@@ -6,9 +6,11 @@
 4. Decontamination: documents that contain a benchmark item go.
 5. BPE: token counts and digests of what stays.
 
-Each stage works on all that the one before kept.  Null and empty texts: the
-first stage drops them, for they have no letter.  Repeated rows: the third stage
-keeps one.  Columns beyond those of ``documents`` pass through all stages.
+Each stage works on all that the one before kept, and on whole texts of any length.
+Null and empty texts: the first stage drops them, for they have no letter.  Repeated
+rows, and of near duplicates all but the one with the least id: the third stage drops
+them.  An empty table gives no rows.  Columns beyond those of ``documents`` pass
+through all stages, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm import bpe, decontamination, jaccard, language_id, quality
-from tallyweave.llm.common import held_out, shared_dir, table
+from tallyweave.llm.common import held_out, shared_dir, table, temporary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,6 +70,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        temporary(spark, path)
         docs = spark.read.parquet(path)
     return docs
 
