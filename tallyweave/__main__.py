@@ -1,13 +1,16 @@
 """Command line: ``python -m tallyweave [--json] [--top N] [--max-word N] FILE``.
 
-Status 2 for a usage error, 1 for a file that cannot be read, 0 otherwise.
+Status 2 for a usage error, 1 for a file that cannot be read or output that cannot be
+written, 0 otherwise.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import sys
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
@@ -37,10 +40,25 @@ def main(args: list[str]) -> int:
         return 2
     spark = SparkSession.builder.appName("tallyweave").config("spark.ui.enabled", "false").getOrCreate()
     try:
-        print(run(spark, options))
+        said = run(spark, options)
     except PySparkException as e:
         print(f"cannot read {options.path}: {e.getCondition() or type(e).__name__}", file=sys.stderr)
         return 1
+    except Py4JError as e:
+        print(f"cannot read {options.path}: {type(e).__name__}", file=sys.stderr)
+        return 1
+    return written(said)
+
+
+def written(text: str) -> int:
+    """K5: print a text; 1 if it cannot be written to the end."""
+    try:
+        print(text, flush=True)
+    except OSError as e:
+        print(f"cannot write: {e.strerror}", file=sys.stderr)
+        # What is left in the buffer is not tried again when Python ends.
+        os.dup2(os.open(os.devnull, os.O_WRONLY), sys.stdout.fileno())
+        return 1
     return 0
 
 

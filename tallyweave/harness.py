@@ -21,7 +21,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import checksum, report, words
-from .options import UsageError, clamp_max_word, parse_number
+from .options import MOST_TOP, UsageError, clamp_max_word, parse_number
 from .render import to_json, to_markdown
 from .sources import CASES, CORPORA, binary_text, corpus, line_text, write_corpus
 from .timing import fold_runs, percentile, timed
@@ -55,6 +55,8 @@ def parse_settings(args: list[str], environment: Mapping[str, str]) -> Settings:
             raise UsageError(f"unknown option: {name}")
         else:
             setattr(found, field, value if field in ("corpus", "fixture") else parse_number(value))
+    if found.top > MOST_TOP:
+        raise UsageError(f"top is at most {MOST_TOP}")
     if min(found.top, found.samples, found.runs) < 1:
         raise UsageError("top, samples and runs must be positive")
     if found.corpus not in ("default", "stress", *CORPORA):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,10 +17,18 @@ def product(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def expected(cases: DataFrame, results: DataFrame, key: str) -> DataFrame:
-    """Each case with its result; a case without one keeps nulls."""
+    """Each case with its result; a case without one keeps nulls."""
     return cases.join(results, key, "left")
 
 
+def required(cases: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Each case with its result; a case without one fails the job, and names the case."""
+    found = cases.join(results.withColumn("_found", F.lit(True)), key, "left")
+    missing = F.raise_error(F.concat(F.lit("no result for "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    # The key itself carries the test, so that no optimizer drops it.
+    return found.withColumn(key, F.when(F.col("_found"), F.col(key)).otherwise(missing.cast(dict(cases.dtypes)[key]))).drop("_found")
+
+
 def compare(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of either side that the other lacks, with ``side``."""
     only = lambda a, b, side: a.exceptAll(b).withColumn("side", F.lit(side))
@@ -28,11 +36,12 @@ def compare(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def rank_nulls_last(df: DataFrame, column: str) -> DataFrame:
-    """Ascending, missing values last."""
-    return df.orderBy(F.col(column).asc_nulls_last())
+    """Ascending, missing values last, with ``rank`` from 1 on; for a summary's few rows, which one task ranks."""
+    order = F.col(column).asc_nulls_last()
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(order))).orderBy("rank")
 
 
-def rotated(position: Column, shift: int, size: int) -> Column:
+def rotated(position: Column, shift: Column | int, size: int) -> Column:
     """Where an item stands after a rotation to the left."""
     return F.pmod(position - F.lit(shift), F.lit(size))
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 #: Fixed values of the contract.
 DEFAULT_TOP, DEFAULT_MAX_WORD, ZERO_MAX_WORD, LEAST_MAX_WORD, MOST_MAX_WORD = 10, 1024, 64, 4, 1024
 MOST_NUMBER = 2**63 - 1
+#: Entries of a ranking, at most.
+MOST_TOP = 2**31 - 1
 
 
 class UsageError(ValueError):
@@ -67,4 +69,6 @@ def parse_args(args: list[str]) -> Options:
         raise UsageError("exactly one file is needed")
     if found.top < 1:
         raise UsageError("--top must be positive")
+    if found.top > MOST_TOP:
+        raise UsageError(f"--top is at most {MOST_TOP}")
     return replace(found, path=operands[0], max_word=clamp_max_word(found.max_word))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import functions as E
 from .. import operators as O
 from ..render import to_json, to_text
-from ..sources import CASES, column_text
+from ..sources import CASES, bytes_text, column_text
 
 #: Table and text column of each source.
 TEXTS = {"documents": "text", "pages": "html", "conversations": "text", "benchmark": "text"}
@@ -132,8 +132,8 @@ for _n in (10, 1000):
 
 @query
 def top_beyond_unique(spark, sf_dir):
-    one = read(spark, sf_dir, "benchmark").where("item_id = 3")
-    return O.top_words(O.counts(O.words(column_text(one, "text"))), 100_000)
+    """O3: more entries are asked for than there are words."""
+    return O.top_words(O.counts(tokens_of(spark, sf_dir, "benchmark")), 2_000_000)
 
 
 def _report(spark, sf_dir, top=10):
@@ -175,8 +175,7 @@ def run_checksum(spark, sf_dir):
 
 @query
 def word_bytes(spark, sf_dir):
-    top = O.top_words(O.counts(tokens_of(spark, sf_dir, "benchmark")), 20)
-    return top.select("word", F.array_join(E.word_bytes(F.col("word")).cast("array<string>"), ",").alias("bytes"))
+    return O.counts(tokens_of(spark, sf_dir, "benchmark")).select("word", F.array_join(E.word_bytes(F.col("word")).cast("array<string>"), ",").alias("bytes"))
 
 
 @query
@@ -223,6 +222,30 @@ def validation_cases(spark, sf_dir):
     return corpora.unionByName(_cases(spark))
 
 
+def _raw_cases(spark):
+    """``name, total, unique, top`` of each edge case's raw bytes, with its own top and max_word."""
+    cases = spark.createDataFrame([(n, bytearray(c), t, m) for n, c, t, m, _ in CASES], "name string, content binary, top int, max_word int")
+    runs = bytes_text(cases, "content", ("name", "top", "max_word")).select("name", "top", E.clamp_column(F.col("max_word")).alias("n"), F.explode(E.runs(F.col("text"))).alias("run"))
+    counted = runs.select("name", "top", F.lower(F.substring(F.col("run"), F.lit(1), F.col("n"))).alias("word")).groupBy("name", "top", "word").agg(F.count("*").alias("count"))
+    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("k"), "word", "count"))), F.lit(1), F.first("top"))
+    shown = F.array_join(F.transform(ranked, lambda e: F.concat_ws(" ", e["count"].cast("string"), e["word"])), ";")
+    found = counted.groupBy("name").agg(F.sum("count").alias("total"), F.count("*").alias("unique"), shown.alias("top"))
+    zero = F.lit(0).cast("bigint")
+    return O.expected(cases.select("name"), found, "name").select("name", F.coalesce("total", zero).alias("total"), F.coalesce("unique", zero).alias("unique"), F.coalesce("top", F.lit("")).alias("top"))
+
+
+@query
+def raw_bytes(spark, sf_dir):
+    """Bytes above 127, NUL and malformed UTF-8 separate words."""
+    return _raw_cases(spark)
+
+
+@query
+def required_join(spark, sf_dir):
+    """Every case has its result."""
+    return O.required(_cases(spark).select("name", "size"), _raw_cases(spark).select("name", "total", "unique"), "name")
+
+
 @query
 def expected_join(spark, sf_dir):
     results = literal(spark, "('empty', 0L, 0L), ('top-limit', 10L, 5L)", "name, total, unique")
@@ -256,7 +279,7 @@ def rank_nulls_last(spark, sf_dir):
 @query
 def rotate(spark, sf_dir):
     rows = spark.sql("SELECT pos, k FROM (SELECT explode(sequence(0, 4)) AS pos) CROSS JOIN (SELECT explode(array(0, 1, 3)) AS k)")
-    return rows.select("pos", "k", F.pmod(F.col("pos") - F.col("k"), F.lit(5)).alias("place"))
+    return rows.select("pos", "k", O.rotated(F.col("pos"), F.col("k"), 5).alias("place"))
 
 
 @query

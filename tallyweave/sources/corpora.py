@@ -81,9 +81,9 @@ def write_corpus(folder: str | Path, name: str, data: bytes) -> str:
 #: Name, content, top, max_word and style of arguments of each edge case.
 CASES = (
     ("empty", b"", 10, 1024, "separated"),
-    ("separators", bytes.fromhex("00090a20212d30395fff"), 10, 1024, "separated"),
+    ("separators", bytes([0, 9, 10, 32, 33, 45, 48, 57, 95, 255]), 10, 1024, "separated"),
     ("ascii-contract", b"Apple apple APPLE\nfoo-bar\n123abc456\nit's\nz b a\naaaaaaaaa aaaaaaaab aaaaaaaac\n", 20, 1024, "separated"),
-    ("non-ascii-bytes", bytes.fromhex("636166c3a9206e61c3af76652000415a"), 10, 1024, "separated"),
+    ("non-ascii-bytes", bytes([99, 97, 102, 195, 169, 32, 110, 97, 195, 175, 118, 101, 32, 0, 65, 90]), 10, 1024, "separated"),
     ("default-max-word", b"A" * 80 + b" " + b"a" * 64 + b" " + b"b" * 65 + b"\n", 10, 0, "separated"),
     ("min-word-clamp", b"alphabet alpha alphanumeric ALPHABET\n", 10, 1, "separated"),
     ("top-limit", b"b a c a b a d d d e\n", 3, 1024, "separated"),

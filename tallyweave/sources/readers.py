@@ -7,13 +7,27 @@ from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows to all cores if the input has fewer files than there are cores.
+    """Deal rows to all cores if the input is small and has fewer files than there are cores.
 
-    One Parquet row group is one task, however many cores there are.  Larger
-    tables have many files and are left alone: no shuffle of text at scale.
+    One Parquet row group is one task, however many cores there are.  Tables whose
+    bytes make enough tasks are left alone, whatever their files: no shuffle of text
+    at scale.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    each = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.repartition(cores) if size < cores * each and len(df.inputFiles()) < cores else df
+
+
+def sizes(spark: SparkSession, path: str) -> DataFrame:
+    """S3: ``path, length`` of files, without reading them."""
+    return spark.read.format("binaryFile").load(path).select("path", "length")
+
+
+def bytes_text(df: DataFrame, column: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """S1 over a binary column: rows ``text``, one char for each byte, and the columns to keep."""
+    return df.select(*keep, F.decode(F.col(column), "ISO-8859-1").alias("text"))
 
 
 def binary_text(spark: SparkSession, path: str) -> DataFrame:

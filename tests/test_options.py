@@ -1,3 +1,6 @@
+import subprocess
+import sys
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -19,13 +22,26 @@ def test_defaults():
     assert parse_args(["f", "--max-word", "0", "--json", "--bench-runs=0"]) == Options("f", max_word=64, json=True)
 
 
-@pytest.mark.parametrize("args", [[], ["a", "b"], ["--top", "0", "f"], ["--top", "x", "f"], ["--top"], ["--top=", "f"], ["--what", "f"], ["--json=x", "f"], ["--top=99999999999999999999", "f"], ["--top=+5", "f"]])
+@pytest.mark.parametrize("args", [[], ["a", "b"], ["--top", "0", "f"], ["--top", "x", "f"], ["--top"], ["--top=", "f"], ["--what", "f"], ["--json=x", "f"], ["--top=99999999999999999999", "f"], ["--top=2147483648", "f"], ["--top=+5", "f"]])
 def test_usage_errors(args):
     with pytest.raises(UsageError):
         parse_args(args)
     assert main(args) == 2
 
 
+def test_source_lines(spark, tmp_path, capsys):
+    (tmp_path / "f").write_bytes(b"b a\nB\xff\n")
+    assert main(["--source=lines", "--json", str(tmp_path / "f")]) == 0
+    assert capsys.readouterr().out == '{"total":3,"unique":2,"top":[{"word":"b","count":2},{"word":"a","count":1}]}\n'
+
+
+def test_output_that_cannot_be_written():
+    code = "import sys; from tallyweave.__main__ import written; sys.exit(written('x' * 9))"
+    with open("/dev/full", "w") as full:
+        done = subprocess.run([sys.executable, "-c", code], stdout=full, stderr=subprocess.PIPE, text=True)
+    assert done.returncode == 1 and "cannot write" in done.stderr
+
+
 def test_missing_file(spark, tmp_path):
     assert main([str(tmp_path / "none")]) == 1
 
