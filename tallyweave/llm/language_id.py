@@ -1,8 +1,9 @@
 """Language identification (operator 4).
 
-A bidirectional gated recurrent network reads bytes in windows, labels every
-position with the probabilities of the languages, and a document's probabilities
-are the mean over all its positions.  It is trained in numpy by backpropagation
+A bidirectional gated recurrent network reads bytes in windows that overlap, labels
+every position with the probabilities of the languages, in the window that has it
+away from the borders, and a document's probabilities are the mean over all its
+positions.  It is trained in numpy by backpropagation
 through time, on windows of a bounded sample of documents with a language; every
 language that a document to learn from has is learned.
 
@@ -31,8 +32,8 @@ from .hashing import mix, span_hashes
 #: Documents of each language that are learned from, at most, and windows of all of them: any windows of theirs, wherever they are.
 SAMPLE, SAMPLE_WINDOWS = 1000, 16_000
 
-#: Bytes of a window, state of each direction.
-WINDOW, HIDDEN = 96, 8
+#: Bytes of a window that are labelled, bytes before and after them that are read too, state of each direction.
+WINDOW, CONTEXT, HIDDEN = 96, 16, 8
 
 #: Training: steps, windows in a batch, rate.
 STEPS, BATCH, RATE = 400, 192, 0.02
@@ -70,6 +71,7 @@ class LanguageModel:
         for k in range(0, windows.shape[1], AT_ONCE):
             part = slice(k, k + AT_ONCE)
             probs = self.positions(windows[:, part])
+            probs = probs[CONTEXT : CONTEXT + WINDOW]
             probs *= (np.arange(WINDOW)[:, None] < sizes[part])[:, None]
             np.add.at(total, rows[part], probs.sum(0).T)
         return total / np.maximum(np.diff(at), 1)[:, None]
@@ -81,15 +83,19 @@ def _inputs(table_: np.ndarray, windows: np.ndarray) -> np.ndarray:
 
 
 def cut(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts in windows of WINDOW bytes, as columns, the last ones filled up with zeros; bytes and text of each window."""
+    """All texts in windows of WINDOW bytes between CONTEXT bytes, as columns; bytes to label and text of each window.
+
+    What is beyond a text's ends is zero.
+    """
     size = np.diff(at)
     count = -(-size // WINDOW)
     rows = np.repeat(np.arange(len(size)), count)
     first = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
     starts = at[:-1][rows] + first * WINDOW
     sizes = np.minimum(WINDOW, at[1:][rows] - starts)
-    place = starts + np.arange(WINDOW)[:, None]
-    windows = np.where(np.arange(WINDOW)[:, None] < sizes, raw[np.minimum(place, max(0, len(raw) - 1))] if len(raw) else 0, 0)
+    place = starts + np.arange(-CONTEXT, WINDOW + CONTEXT)[:, None]
+    inside = (place >= at[:-1][rows]) & (place < at[1:][rows])
+    windows = np.where(inside, raw[np.clip(place, 0, max(0, len(raw) - 1))] if len(raw) else 0, 0)
     return windows.astype(np.uint8), sizes, rows
 
 
@@ -110,7 +116,8 @@ def train(windows: np.ndarray, sizes: np.ndarray, labels: np.ndarray, names: lis
         own = np.arange(BATCH) % n
         pick = np.array([rng.choice(by[k]) for k in own])
         x = windows[:, pick]
-        mask = (np.arange(WINDOW)[:, None] < sizes[pick]).astype(np.float32)
+        mask = np.zeros((len(x), BATCH), np.float32)
+        mask[CONTEXT : CONTEXT + WINDOW] = np.arange(WINDOW)[:, None] < sizes[pick]
         ahead, kept_f = forward(_inputs(params["in_f"], x), params["rec_f"], params["bias_f"], zero, keep=True)
         back, kept_b = forward(_inputs(params["in_b"], x[::-1]), params["rec_b"], params["bias_b"], zero, keep=True)
         turned = back[:0:-1]
@@ -180,7 +187,7 @@ def fit_language(docs: DataFrame, learn: Column, text_col: str = "text", lang_co
     names = sorted(set(got["lang"]))
     if not names:
         return LanguageModel([], {})
-    windows = np.frombuffer(b"".join(got["window"]), np.uint8).reshape(-1, WINDOW).T
+    windows = np.frombuffer(b"".join(got["window"]), np.uint8).reshape(-1, WINDOW + 2 * CONTEXT).T
     return train(windows, got["size"].to_numpy(), got["lang"].map(names.index).to_numpy(), names)
 
 

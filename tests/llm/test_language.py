@@ -12,7 +12,10 @@ def test_windows_hold_every_byte():
     windows, sizes, rows = L.cut(raw, at)
     for k, t in enumerate(texts):
         own = rows == k
-        assert b"".join(w[:n].tobytes() for w, n in zip(windows.T[own], sizes[own])) == (t or "").encode()
+        c = L.CONTEXT
+        assert b"".join(w[c : c + n].tobytes() for w, n in zip(windows.T[own], sizes[own])) == (t or "").encode()
+        whole = bytes(c) + (t or "").encode() + bytes(L.WINDOW + c)
+        assert all(w.tobytes() == whole[j * L.WINDOW : j * L.WINDOW + L.WINDOW + 2 * c] for j, w in enumerate(windows.T[own]))
 
 
 def test_held_out_accuracy(spark):
@@ -43,7 +46,7 @@ def test_mean_of_positions():
     windows, sizes, rows = L.cut(raw, at)
     each = model.positions(windows)
     for k in (0, 1):
-        want = np.concatenate([each[:n, :, j].T for j, n in enumerate(sizes) if rows[j] == k], axis=1).mean(1)
+        want = np.concatenate([each[L.CONTEXT : L.CONTEXT + n, :, j].T for j, n in enumerate(sizes) if rows[j] == k], axis=1).mean(1)
         assert np.allclose(probs[k], want, atol=1e-5)
     assert probs.argmax(1).tolist() == [0, 1]
 
@@ -52,3 +55,51 @@ def _two():
     raw, at = text_bytes(pa.array(["abcab" * 15, "xyzxz" * 15] * 20))
     windows, sizes, rows = L.cut(raw, at)
     return windows, sizes, rows % 2, ["ab", "xy"], 40
+
+
+def _plain_states(table, rec, bias, text):
+    """States of a unit over bytes, one after the other, by its definition."""
+    h = rec.shape[1]
+    state, out = np.zeros(h), []
+    for b in text:
+        own, back = table[b].astype(float), rec.astype(float) @ state
+        z, r = 1 / (1 + np.exp(-(own[:h] + back[:h]))), 1 / (1 + np.exp(-(own[h : 2 * h] + back[h : 2 * h])))
+        candidate = np.tanh(own[2 * h :] + r * (back[2 * h :] + bias[:, 0]))
+        state = z * state + (1 - z) * candidate
+        out.append(state)
+    return out
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    """Every text's language and score, byte by byte; a sample of texts, for time."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = L.fit_language(docs, ~L.held_out("doc_id", 4, 2))
+    got = {r["doc_id"]: r for r in L.op4_language(spark, sf_dir).collect()}
+    assert len(got) == docs.count()
+    p = model.params
+    rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: len(r[1] or ""))
+    for i, text in rows[:60]:
+        raw, total = (text or "").encode(), np.zeros(len(model.names))
+        c, filled = L.CONTEXT, bytes(L.CONTEXT) + raw + bytes(L.WINDOW + L.CONTEXT)
+        for a in range(0, len(raw), L.WINDOW):
+            part = filled[a : a + L.WINDOW + 2 * c]
+            ahead = _plain_states(p["in_f"], p["rec_f"], p["bias_f"], part)
+            back = _plain_states(p["in_b"], p["rec_b"], p["bias_b"], part[::-1])[::-1]
+            for f, b in list(zip(ahead, back))[c : c + min(L.WINDOW, len(raw) - a)]:
+                logit = p["out_f"] @ f + p["out_b"] @ b + p["out_bias"][:, 0]
+                total += np.exp(logit - logit.max()) / np.exp(logit - logit.max()).sum()
+        total /= max(1, len(raw))
+        if any(c.isalpha() for c in text or ""):
+            assert got[i]["lang_pred"] == model.names[int(total.argmax())] and abs(got[i]["score"] - total.max()) < 1e-4
+        else:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+
+
+def test_every_language_is_learned(spark):
+    """However many languages there are, and wherever in a text its language shows."""
+    rows = []
+    for k in range(70):
+        word = chr(97 + k % 26) + chr(97 + k // 26) * 2
+        rows += [(10 * k + j, f"{word} " * 60, f"l{k:02d}") for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert L.fit_language(df, F.lit(True)).names == [f"l{k:02d}" for k in range(70)]

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import defaultdict
 
@@ -47,3 +48,43 @@ def test_odd_texts(spark, odd, none, sf_dir):
     docs.collect()
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, sf_dir).count() == 0
+
+
+def test_stages_equal_brute_force(spark, sf_dir):
+    """Each stage's decisions, text by text, on all that the stage before kept."""
+    import pyarrow as pa
+    from test_jaccard import brute
+    from tokenizers import Tokenizer
+
+    from tallyweave.llm import bpe, decontamination, language_id, quality
+    from tallyweave.llm.common import held_out, table, text_bytes, written
+
+    docs = table(spark, sf_dir, "documents")
+    held = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = written(stage(spark, docs, sf_dir), name)
+        held[name] = (docs, {r["doc_id"]: r for r in docs.collect()}, {r["doc_id"]: r for r in out.collect()})
+        docs = out
+    frame, before, after = held["language_id"]
+    model = language_id.fit_language(frame, ~held_out("doc_id", 4, 2))
+    for i, r in before.items():
+        names, score = language_id.predict(pa.array([r["text"]], pa.string()), model)
+        assert (i in after) == (names[0] != "und" and score[0] >= language_id.ACCEPTED)
+    frame, before, after = held["quality"]
+    fitted = quality.learned(frame, table(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))[0]
+    for i, r in before.items():
+        assert (i in after) == (fitted.score(quality.statistics(*text_bytes(pa.array([r["text"]]))))[0] >= 0.5)
+    _, before, after = held["jaccard"]
+    assert set(after) == {c for _, _, c in brute([(i, r["text"]) for i, r in before.items()])}
+    _, before, after = held["decontamination"]
+    items = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").collect()]
+    index = decontamination.build(items)
+    assert set(after) == {i for i, r in before.items() if not decontamination.hits([r["text"]], index)}
+    assert not any(decontamination.normal(x).tobytes() in decontamination.normal(r["text"]).tobytes() for r in after.values() for _, x in items)
+    _, before, after = held["bpe"]
+    library = Tokenizer.from_file(bpe.default_path())
+    assert set(before) == set(after)
+    for i, r in after.items():
+        ids = library.encode(before[i]["text"], add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -59,3 +61,49 @@ def test_odd_texts(spark, odd, none):
     assert {r["score"] for r in Q.score_quality(stats, model).collect()} == {0.5}
     model, stats = Q.learned(none, labels, F.lit(True))
     assert Q.score_quality(stats, model).count() == 0
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    """Features, equations, weights and calibration of the query, text by text and row by row."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(Q.CALIBRATES)).alias("part")).collect()]
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    x = np.vstack([Q.statistics(*text_bytes(pa.array([t], pa.string()))) for _, t, _ in docs]).astype(float)
+    use = [k for k, (i, _, _) in enumerate(docs) if zlib.crc32(str(i).encode()) % 3 != 1 and labels.get(i) in (0, 1)]
+    own, y, part = x[use], np.array([labels[docs[k][0]] for k in use], float), np.array([docs[k][2] for k in use])
+    mean, scale = own.mean(0), np.sqrt(np.maximum(own.var(0), 1e-8))
+    rng = np.random.default_rng(11)
+    d, n = len(Q.NAMES), Q.FEATURES
+    directions, phases = rng.normal(size=(d, n)) / np.sqrt(d), rng.uniform(0, 2 * np.pi, n)
+
+    def features(rows):
+        z = np.clip((rows - mean) / scale, -6, 6)
+        return np.array([[*(np.sqrt(2 / n) * np.cos(v @ directions + phases)), 1.0] for v in z])
+
+    z = features(own[part != 0])
+    left = sum(np.outer(v, v) for v in z) + (Q.RIDGE * len(own) + 1e-6) * np.eye(n + 1)
+    weights = np.linalg.solve(left, sum(v * t for v, t in zip(z, y[part != 0])))
+    bins = np.clip((features(own[part == 0]) @ weights + 0.5) / 2 * Q.BINS, 0, Q.BINS - 1).astype(int)
+    has = sorted(set(bins))
+    count = np.array([(bins == b).sum() for b in has], float)
+    rising = Q.isotonic(np.array([y[part == 0][bins == b].mean() for b in has]), count)
+    level = np.array([count[rising == v].sum() for v in rising])
+    to = Q.isotonic((rising * level + y.mean()) / (level + 1), count)
+    want = np.clip(np.interp(features(x) @ weights, (np.array(has) + 0.5) / Q.BINS * 2 - 0.5, to), 0, 1)
+    got = {r["doc_id"]: r for r in Q.op2_quality(spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    for (i, _, _), s in zip(docs, want):
+        assert abs(got[i]["score"] - s) < 1e-3 and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
+def test_features_approximate_the_kernel():
+    rng = np.random.default_rng(0)
+    d = len(Q.NAMES)
+    model = Q.QualityModel(np.zeros(d), np.ones(d), rng.normal(size=(d, 20_000)) / np.sqrt(d), rng.uniform(0, 2 * np.pi, 20_000), np.zeros(20_001), np.zeros(1), np.zeros(1))
+    x = rng.normal(size=(6, d))
+    z = model.features(x)[:, :-1]
+    true = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / (2 * d))
+    assert np.abs(z @ z.T - true).max() < 0.05
+
+
+def test_levels():
+    assert Q.levels(0) == [16] and Q.levels(1000) == [16] and Q.levels(800_000) == [12_500, 195, 16]

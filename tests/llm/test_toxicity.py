@@ -93,3 +93,42 @@ def test_all_windows_of_a_document_are_looked_at(monkeypatch):
     windows = len(toxicity.windows_of(rows, 3)[2])
     toxicity.train(raw, at, np.array([1, 0, 1]), updates=1)
     assert windows > 40 and sum(seen) == 2 * windows
+
+
+def test_query_equals_brute_force(spark):
+    """Scores of whole texts, window by window and word by word, by the definition of each layer."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    learn = ~X.held_out("doc_id", 3, 1)
+    model = X.fit_toxicity(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"), learn)
+    got = {r["doc_id"]: r["score"] for r in X.score_toxicity(docs, model).collect()}
+    p, h = model.params, X.HIDDEN
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(xs, way):
+        state, out = np.zeros(h), []
+        for x in xs:
+            own = p[f"in_{way}"].astype(float) @ x + p[f"gate_{way}"][:, 0]
+            back = p[f"rec_{way}"].astype(float) @ state
+            z, r = sigmoid(own[:h] + back[:h]), sigmoid(own[h : 2 * h] + back[h : 2 * h])
+            state = z * state + (1 - z) * np.tanh(own[2 * h :] + r * (back[2 * h :] + p[f"bias_{way}"][:, 0]))
+            out.append(state)
+        return out
+
+    rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: len(r[1] or ""))
+    for i, text in [*rows[:20], *rows[60:90:3]]:
+        number, _, words = X.words_of(*text_bytes(pa.array([text or ""])))
+        table = model.embed(words).astype(float)
+        best = -np.inf
+        for a in range(0, max(1, len(number)), X.STRIDE):
+            own = number[a : a + X.WINDOW]
+            if a and a + X.WINDOW - X.STRIDE >= len(number):
+                break
+            filled = [*own, *[len(table) - 1] * (X.WINDOW - len(own))]
+            xs = table[filled]
+            both = [np.concatenate(s) for s in zip(states(xs, "f"), states(xs[::-1], "b")[::-1])]
+            seen = both[: max(1, len(own))]
+            e = np.array([p["att_out"][:, 0] @ np.tanh(p["att"] @ s + p["att_bias"][:, 0]) for s in seen])
+            weight = np.exp(e - e.max())
+            pooled = sum(w * s for w, s in zip(weight / weight.sum(), seen))
+            best = max(best, float(p["out"][:, 0] @ pooled + p["out_bias"][0]))
+        assert abs(got[i] - sigmoid(best)) < 1e-4, i
