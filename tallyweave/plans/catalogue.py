@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import functions as E
 from .. import operators as O
 from ..render import to_json, to_text
-from ..sources import CASES, bytes_text, column_text
+from ..sources import CASES, PROFILES, bytes_text, column_text, generated
 
 #: Table and text column of each source.
 TEXTS = {"documents": "text", "pages": "html", "conversations": "text", "benchmark": "text"}
@@ -246,6 +246,20 @@ def required_join(spark, sf_dir):
     return O.required(_cases(spark).select("name", "size"), _raw_cases(spark).select("name", "total", "unique"), "name")
 
 
+#: Words of each profile's corpus that is generated.
+GENERATED = 4000
+
+
+@query
+def generated_corpora(spark, sf_dir):
+    """Word counts of a corpus of each profile, generated in tasks."""
+    made = [generated(spark, p, GENERATED).select(F.lit(p).alias("profile"), "text") for p in PROFILES]
+    frame = made[0]
+    for more in made[1:]:
+        frame = frame.unionByName(more)
+    return O.words(frame, keep=("profile",)).groupBy("profile", "word").agg(F.count("*").alias("count"))
+
+
 @query
 def expected_join(spark, sf_dir):
     results = literal(spark, "('empty', 0L, 0L), ('top-limit', 10L, 5L)", "name, total, unique")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..sources import CASES
-from .catalogue import NUMBERS, TEXTS, TIMINGS
+from ..sources.corpora import BASE, SEPARATORS
+from .catalogue import GENERATED, NUMBERS, TEXTS, TIMINGS
 
 
 def _words(name="documents", keep="", n=1024, where=""):
@@ -44,9 +45,26 @@ _BYTES = "array_to_string(list_transform(range(0, length(hex) // 2), lambda i: c
 _RAW = ", ".join(f"('{n}', '{c.hex()}', {t}, {m})" for n, c, t, m, _ in CASES)
 _RAW = f"""(WITH c AS (SELECT name, top, CASE WHEN m = 0 THEN 64 ELSE least(1024, greatest(4, m)) END AS n, {_BYTES} AS t FROM (VALUES {_RAW}) v(name, hex, top, m)),
 w AS (SELECT name, top, lower(left(run, n)) AS word FROM (SELECT name, top, n, unnest(regexp_extract_all(t, '[A-Za-z]+')) AS run FROM c)),
-k AS (SELECT name, top, word, count(*) AS count, row_number() OVER (PARTITION BY name ORDER BY count(*) DESC, word) AS place FROM w GROUP BY ALL),
-s AS (SELECT name, sum(count)::BIGINT AS total, count(*) AS "unique", string_agg(count || ' ' || word, ';' ORDER BY place) FILTER (WHERE place <= top) AS top FROM k GROUP BY name)
-SELECT c.name, coalesce(total, 0)::BIGINT AS total, coalesce("unique", 0)::BIGINT AS "unique", coalesce(s.top, '') AS top FROM c LEFT JOIN s ON c.name = s.name)"""
+g AS (SELECT name, top, word, count(*) AS count FROM w GROUP BY name, top, word),
+k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY count DESC, word) AS place FROM g),
+s AS (SELECT name, sum(count)::BIGINT AS total, count(*) AS "unique", string_agg(count || ' ' || word, ';' ORDER BY place) FILTER (WHERE place <= top) AS shown FROM k GROUP BY name)
+SELECT c.name, coalesce(total, 0)::BIGINT AS total, coalesce("unique", 0)::BIGINT AS "unique", coalesce(shown, '') AS top FROM c LEFT JOIN s ON c.name = s.name)"""
+
+def _syn(v):
+    return f"(array_to_string(list_transform(range(0, 8), lambda k: chr((97 + ({v}) // (26 ** k)::BIGINT % 26)::INT)), '') || repeat('x', (({v}) % 5)::INT))"
+
+
+_ALPHA = "list_extract([" + ", ".join(f"'{w}'" for w in BASE) + "], (i % 8 + 1)::INT)"
+_SEP = "list_extract([" + ", ".join("chr(%d)" % ord(c) if len(c) == 1 else f"'{c}'" for c in SEPARATORS) + "], (i % 7 + 1)::INT)"
+_FOLDED = f"CASE WHEN i % 6 <> 0 THEN {_syn('i // 4')} ELSE lower({_ALPHA}) END"
+_WORDS = {
+    "mixed": f"CASE WHEN i % 5 <> 0 THEN {_ALPHA} ELSE {_syn('i')} END",
+    "unique": f"{_syn('i')} || {_syn('i + 17')}",
+    "case-fold": f"CASE i % 4 WHEN 0 THEN upper({_FOLDED}) WHEN 1 THEN upper(left({_FOLDED}, 1)) || substr({_FOLDED}, 2) ELSE {_FOLDED} END",
+    "repeated": _ALPHA,
+    "long": f"lower({_ALPHA}) || repeat({_syn('i')}, 16)",
+}
+_GENERATED = " UNION ALL ".join(f"SELECT '{p}' AS profile, ({w}) || {_SEP} AS text FROM (SELECT unnest(range(0, {GENERATED})) AS i)" for p, w in _WORDS.items())
 
 ORACLE_SQL = {
     "scan_documents": "SELECT doc_id, text FROM documents",
@@ -77,6 +95,7 @@ ORACLE_SQL = {
     "throughput": "SELECT size, ms, CASE WHEN ms = 0 THEN 'inf' ELSE printf('%.1f', size / 1048576.0 / (ms / 1000.0)) END AS mib_s FROM (SELECT size, ms::DOUBLE AS ms FROM (VALUES (524299::BIGINT, 0.0), (524299, 2.0), (1048576, 1000.0), (4100, 0.5)) t(size, ms))",
     "validation_product": f"SELECT * FROM (VALUES ('lines'), ('binary')) i(impl) CROSS JOIN {_CASES}",
     "validation_cases": f"SELECT * FROM (VALUES ('tiny-mix', 4100::BIGINT, 10, 1024), ('small-mix', 65542, 10, 1024)) t(name, size, top, max_word) UNION ALL SELECT * FROM {_CASES}",
+    "generated_corpora": f"SELECT profile, word, count(*) AS count FROM (SELECT profile, lower(left(w, 1024)) AS word FROM (SELECT profile, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM ({_GENERATED}))) GROUP BY ALL",
     "raw_bytes": f"SELECT * FROM {_RAW}",
     "required_join": f"SELECT c.name, c.size, r.total, r.\"unique\" FROM {_CASES} c JOIN {_RAW} r ON c.name = r.name",
     "expected_join": f"SELECT c.name, r.total, r.\"unique\" FROM {_CASES} c LEFT JOIN (VALUES ('empty', 0::BIGINT, 0::BIGINT), ('top-limit', 10, 5)) r(name, total, \"unique\") ON c.name = r.name",

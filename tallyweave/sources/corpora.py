@@ -8,6 +8,9 @@ from __future__ import annotations
 from itertools import count
 from pathlib import Path
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 # Base words and the separators, in their order.
 BASE = ("Alpha", "beta", "GAMMA", "delta", "epsilon", "zeta", "eta", "theta")
 SEPARATORS = (" ", "\n", ",", "--", "123", "\t", "!!")
@@ -23,6 +26,8 @@ CORPORA = {
     "long-clamp": ("long", 256 << 10),
 }
 
+PROFILES = tuple(dict.fromkeys(profile for profile, _ in CORPORA.values()))
+
 
 def synthetic(v: int) -> str:
     """Eight base-26 digits of v, the least significant first, then v mod 5 times x."""
@@ -71,6 +76,35 @@ def corpus(name: str) -> bytes:
     return (text if text.endswith("\n") else text + "\n").encode("ascii")
 
 
+def _synthetic_column(v: Column) -> Column:
+    """``synthetic`` over a column."""
+    digits = [F.chr(F.lit(97) + F.floor(v / F.lit(26**k)) % 26) for k in range(8)]
+    return F.concat(*digits, F.repeat(F.lit("x"), (v % 5).cast("int")))
+
+
+def generated(spark: SparkSession, profile: str, words: int) -> DataFrame:
+    """S5 in tasks: the first so many words of a profile, each with its separator, as rows ``i, text`` of any number."""
+    i = F.col("id")
+    base = F.element_at(F.array(*map(F.lit, BASE)), (i % 8 + 1).cast("int"))
+    match profile:
+        case "mixed":
+            made = F.when(i % 5 != 0, base).otherwise(_synthetic_column(i))
+        case "unique":
+            made = F.concat(_synthetic_column(i), _synthetic_column(i + 17))
+        case "repeated":
+            made = base
+        case "long":
+            made = F.concat(F.lower(base), F.repeat(_synthetic_column(i), F.lit(16)))
+        case "case-fold":
+            plain = F.when(i % 6 != 0, _synthetic_column(F.floor(i / 4))).otherwise(F.lower(base))
+            mixed = F.array_join(F.transform(F.split(plain, ""), lambda c, k: F.when(k % 2 == 0, F.upper(c)).otherwise(c)), "")
+            made = F.when(i % 4 == 0, F.upper(plain)).when(i % 4 == 1, F.initcap(plain)).when(i % 4 == 2, mixed).otherwise(plain)
+        case _:
+            raise ValueError(f"no such profile: {profile}")
+    separator = F.element_at(F.array(*map(F.lit, SEPARATORS)), (i % 7 + 1).cast("int"))
+    return spark.range(words).select(i.alias("i"), F.concat(made, separator).alias("text"))
+
+
 def write_corpus(folder: str | Path, name: str, data: bytes) -> str:
     """Write bytes under a name and give the path."""
     path = Path(folder) / name

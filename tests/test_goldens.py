@@ -9,7 +9,7 @@ from tallyweave import Options, binary_text, checksum, line_text, report, to_jso
 from tallyweave.__main__ import run
 from tallyweave.operators import words
 from tallyweave.options import clamp_max_word
-from tallyweave.sources import CASES, CORPORA, corpus, write_corpus
+from tallyweave.sources import CASES, CORPORA, corpus, generated, write_corpus
 from tallyweave.timing import fold_runs
 
 CONTENT = {name: data for name, data, *_ in CASES}
@@ -54,6 +54,13 @@ def test_golden(spark, tmp_path, name):
     assert (fold_runs([check]), fold_runs([check] * 10)) == (once, ten)
 
 
+@pytest.mark.parametrize("name", sorted(CORPORA))
+def test_generated_in_tasks(spark, name):
+    """Words of a corpus from a frame equal those of the driver's."""
+    rows = generated(spark, CORPORA[name][0], 300).orderBy("i").collect()
+    assert corpus(name).decode().startswith("".join(r["text"] for r in rows))
+
+
 def test_text_of_nothing(spark, tmp_path):
     path = write_corpus(tmp_path, "empty", b"")
     assert to_text(report(words(binary_text(spark, path)))).first()["text"] == "count word\ntotal 0\nunique 0"
