@@ -11,11 +11,11 @@ import numpy as np
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     """The logistic function, in place."""
-    np.negative(x, out=x)
-    np.minimum(x, 60, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 def forward(gates: np.ndarray, weights: np.ndarray, bias: np.ndarray, start: np.ndarray, keep: bool = False, alive: np.ndarray | None = None):
@@ -60,21 +60,32 @@ def backward(d_states: np.ndarray, states: np.ndarray, kept: np.ndarray, weights
     """Gradients of inputs, weights and bias from those of the states 1 to T."""
     steps, h, batch = d_states.shape
     before = states[:-1] if alive is None else states[:-1] * alive[:, None]
+    z, r, c, recurrent = (kept[:, k * h : (k + 1) * h] for k in range(4))
+    # What each step multiplies its states' gradients by, of all steps at once.
+    keeps = 1 - z
+    to_candidate = 1 - c * c
+    to_candidate *= keeps
+    keeps *= z
+    to_update = before - c
+    to_update *= keeps
+    to_reset = 1 - r
+    to_reset *= r
+    to_reset *= recurrent
     d_gates = np.empty((steps, 3 * h, batch), np.float32)
     d_recurrent = np.empty((steps, 3 * h, batch), np.float32)
     carry = np.zeros((h, batch), np.float32)
+    back = np.ascontiguousarray(weights.T)
     for t in range(steps - 1, -1, -1):
-        z, r, c, rec = (kept[t, k * h : (k + 1) * h] for k in range(4))
-        d = d_states[t] + carry
-        dc = d * (1 - z) * (1 - c * c)
-        dg = d_gates[t]
-        dg[:h] = d * (before[t] - c) * z * (1 - z)
-        dg[h : 2 * h] = dc * rec * r * (1 - r)
-        dg[2 * h :] = dc
-        dr = d_recurrent[t]
+        carry += d_states[t]
+        dg, dr = d_gates[t], d_recurrent[t]
+        dc = dg[2 * h :]
+        np.multiply(carry, to_candidate[t], out=dc)
+        np.multiply(carry, to_update[t], out=dg[:h])
+        np.multiply(dc, to_reset[t], out=dg[h : 2 * h])
         dr[: 2 * h] = dg[: 2 * h]
-        dr[2 * h :] = dc * r
-        carry = d * z + weights.T @ dr
+        np.multiply(dc, r[t], out=dr[2 * h :])
+        carry *= z[t]
+        carry += back @ dr
         if alive is not None:
             carry *= alive[t]
     d_weights = np.tensordot(d_recurrent, before, axes=((0, 2), (0, 2)))
@@ -88,17 +99,27 @@ class Adam:
         self.params, self.rate, self.clip, self.step = params, rate, clip, 0
         self.m = {k: np.zeros_like(v) for k, v in params.items()}
         self.v = {k: np.zeros_like(v) for k, v in params.items()}
+        self.room = {k: np.zeros_like(v) for k, v in params.items()}
 
     def update(self, grads: dict[str, np.ndarray], rate: float | None = None) -> None:
         self.step += 1
-        norm = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
         factor = min(1.0, self.clip / (norm + 1e-9))
         for k, g in grads.items():
-            g = g * factor
-            m, v = self.m[k], self.v[k]
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            self.params[k] -= (rate or self.rate) * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-8)
+            m, v, room = self.m[k], self.v[k], self.room[k]
+            np.multiply(g, factor, out=room)
+            m *= 0.9
+            v *= 0.999
+            m += 0.1 * room
+            np.multiply(room, room, out=room)
+            room *= 0.001
+            v += room
+            np.divide(v, 1 - 0.999**self.step, out=room)
+            np.sqrt(room, out=room)
+            room += 1e-8
+            np.divide(m, room, out=room)
+            room *= (rate or self.rate) / (1 - 0.9**self.step)
+            self.params[k] -= room
 
 
 def glorot(rng: np.random.Generator, *shape: int) -> np.ndarray:

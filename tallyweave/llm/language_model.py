@@ -17,8 +17,9 @@ and head words.  It is trained in numpy by truncated backpropagation through tim
 first on a bounded sample of training documents, which all tasks begin from, then
 by every task on all of its training documents, whole; the tasks' weights are
 averaged by their tokens.  Documents are read side by side in lanes, one after the
-other in each, with a state of zeros at each one's beginning.  LISTED words are counted by number when texts are
-scored, all others through a shuffle by hash; both counts are exact.
+other in each, with a state of zeros at each one's beginning.  That first count
+tells the counts of LISTED words; all others are counted through a shuffle by hash
+when texts are scored.  Both counts are exact.
 
 Defined results: null and empty texts have the end alone.  Without training
 documents N is 0, V is 0, and the network is the untrained one.  Texts of any length
@@ -53,14 +54,14 @@ LISTED = 1 << 16
 #: Classes of frequent words, words of each, classes by shape.
 CLASSES, CLASS_WORDS, SHAPES = 48, 48, 63
 
-#: Width of the state; steps of a window; documents that are read side by side.
-HIDDEN, WINDOW, SIDE = 24, 32, 192
+#: Width of the state; steps of a window; documents that are read side by side to train, and to score.
+HIDDEN, WINDOW, SIDE, SCORED_SIDE = 24, 32, 192, 384
 
 #: Training on the sample: updates, documents side by side, rate.
 UPDATES, TRAIN_SIDE, RATE = 700, 64, 0.01
 
 #: Rate of the training on all documents; tokens that a task gathers to deal them to lanes.
-REST_RATE, LANED = 0.002, 2 << 20
+REST_RATE, LANED = 0.002, 3 << 19
 
 #: Tokens whose probabilities are computed at a time; size of logits up to which exponentials need no care.
 AT_ONCE, SAFE = 2048, 60
@@ -129,6 +130,7 @@ class LanguageModel:
     listing: Listing
     params: dict[str, np.ndarray]
     trained: int = 0  # tokens of whole documents that the tasks trained with
+    counts: np.ndarray | None = None  # of the listed words and, last, of ends, in all training documents
 
     def gates(self, inputs: np.ndarray) -> np.ndarray:
         """Input gates of tokens (T, B)."""
@@ -144,20 +146,26 @@ class LanguageModel:
 
         ``safe``: the logits are known to be small enough for their exponentials.
         """
-        p = self.params
+        p, n = self.params, len(targets)
         kind = _class_of(targets)
-        logits = p["class"] @ states
-        logits += p["class_bias"]
-        if not safe:
-            logits -= logits.max(0)
-        out = logits[kind, np.arange(len(kind))].astype(np.float64)
-        np.exp(logits, out=logits)
-        out -= np.log(_ones(_OUTPUTS) @ logits)
+        picked, total = np.empty(n, np.float32), np.empty(n, np.float32)
+        buffer = np.empty((_OUTPUTS, min(n, AT_ONCE)), np.float32)
+        for a in range(0, n, AT_ONCE):
+            b = min(n, a + AT_ONCE)
+            logits = buffer[:, : b - a] if b - a == buffer.shape[1] else np.empty((_OUTPUTS, b - a), np.float32)
+            np.dot(p["class"], np.ascontiguousarray(states[:, a:b]), out=logits)
+            logits += p["class_bias"]
+            if not safe:
+                logits -= logits.max(0)
+            picked[a:b] = logits[kind[a:b], np.arange(b - a)]
+            np.exp(logits, out=logits)
+            np.dot(_ones(_OUTPUTS), logits, out=total[a:b])
+        out = picked.astype(np.float64) - np.log(total)
         order = np.argsort(kind.astype(np.int16), kind="stable")
         ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
         order = order[: ends[-1]]
         now, word = states[:, order], targets[order] % CLASS_WORDS
-        of, total, one = np.empty(len(order), np.float32), np.empty(len(order), np.float32), _ones(CLASS_WORDS)
+        of, total, one = picked[: len(order)], total[: len(order)], _ones(CLASS_WORDS)
         for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
             if a < b:
                 z = p["word"][k] @ now[:, a:b]
@@ -179,8 +187,8 @@ class LanguageModel:
         p, n = self.params, len(at) - 1
         total = np.zeros(n)
         safe = self.bound() < SAFE
-        order, lane_at = lanes(np.diff(at), SIDE)
-        owner = np.repeat(order, np.diff(at)[order])
+        order, lane_at = lanes(np.diff(at), SCORED_SIDE)
+        owner = np.repeat(order.astype(np.int32), np.diff(at)[order])
         for targets, inside, alive, state, last, place, done in windows(inputs, at, order, lane_at):
             states = forward(self.gates(np.vstack((last, targets[:-1]))), p["rec"], p["bias"], state, alive=alive)
             # A target is told by the state after the token before it.
@@ -188,14 +196,13 @@ class LanguageModel:
             goal, whose = targets.ravel(), place.ravel()
             if not inside.all():
                 some = np.flatnonzero(inside.ravel())
-                flat, goal, whose = np.ascontiguousarray(flat[:, some]), goal[some], whose[some]
-            scores = np.concatenate([self.token_scores(np.ascontiguousarray(flat[:, k : k + AT_ONCE]), goal[k : k + AT_ONCE], safe) for k in range(0, len(goal), AT_ONCE)])
-            total += np.bincount(owner[whose], scores, n)
+                flat, goal, whose = flat[:, some], goal[some], whose[some]
+            total += np.bincount(owner[whose], self.token_scores(flat, goal, safe), n)
             done(states[-1])
         return total
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1024)
 def _ones(n: int) -> np.ndarray:
     return np.ones(n, np.float32)
 
@@ -225,11 +232,10 @@ def windows(inputs: np.ndarray, at: np.ndarray, order: np.ndarray, lane_at: np.n
 
     Lanes that have ended go.
     """
+    stream = np.concatenate([inputs[at[k] : at[k + 1]] for k in order.tolist()]) if len(order) else inputs[:0]
+    goes_on = np.ones(len(stream), bool)
     sizes = np.diff(at)[order]
-    starts = np.cumsum(sizes) - sizes
-    stream = inputs[np.repeat(at[:-1][order] - starts, sizes) + np.arange(int(sizes.sum()))]
-    goes_on = np.ones(len(stream), np.float32)
-    goes_on[starts] = 0
+    goes_on[np.cumsum(sizes) - sizes] = False
     place, end = lane_at[:-1].copy(), lane_at[1:]
     state, last = np.zeros((HIDDEN, len(place)), np.float32), np.full(len(place), _END)
     steps = np.arange(WINDOW)[:, None]
@@ -240,7 +246,7 @@ def windows(inputs: np.ndarray, at: np.ndarray, order: np.ndarray, lane_at: np.n
         inside = where < end
         where = np.minimum(where, len(stream) - 1)
         targets = np.where(inside, stream[where], _END)
-        yield targets, inside, goes_on[where], state, last, where, lambda after: held.update(state=after)
+        yield targets, inside, goes_on[where].astype(np.float32), state, last, where, lambda after: held.update(state=after)
         place = place + len(where)
         go = place < end
         state, last = np.ascontiguousarray(held["state"][:, go]), targets[-1][go]
@@ -296,15 +302,17 @@ def _update(
         grads["class"] = grads["class"] + d @ now.T
         grads["class_bias"] = grads["class_bias"] + (d @ _ones(d.shape[1]))[:, None]
         d_flat[:, part] = p["class"].T @ d
+    word, each = goal % CLASS_WORDS, np.arange(len(goal))
     for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
         if a < b:
-            now = flat[:, a:b]
-            e = p["word"][k] @ now
+            now, own = flat[:, a:b], p["word"][k]
+            e = own @ now
             e += p["word_bias"][k][:, None]
             e = _likelier(e, safe)
-            e[goal[a:b] % CLASS_WORDS, np.arange(b - a)] -= 1
-            grads["word"][k], grads["word_bias"][k] = e @ now.T, e.sum(1)
-            d_flat[:, a:b] += p["word"][k].T @ e
+            e[word[a:b], each[: b - a]] -= 1
+            np.dot(e, now.T, out=grads["word"][k])
+            np.dot(e, _ones(b - a), out=grads["word_bias"][k])
+            d_flat[:, a:b] += own.T @ e
     for k in ("class", "class_bias", "word", "word_bias"):
         grads[k] = grads[k] * weight
     d_flat *= weight
@@ -438,6 +446,10 @@ def fit_language_model(docs: DataFrame, learn: Column, id_col: str = "doc_id", t
     counts[inputs[head]] = n[head]
     counts[_HEAD:_END] -= np.bincount((words[head] & np.uint64(63)).astype(np.int64), n[head], SHAPES)
     counts[_END] = bodies.count()
+    numbers = listing.numbers(words)
+    listed = np.zeros(len(listing.hashes) + 1)
+    listed[numbers[numbers >= 0]] = n[numbers >= 0]
+    listed[-1] = counts[_END]
     u = F.xxhash64(F.col(id_col), F.lit(29))
     ids = docs.where(learn).select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().select("id", F.xxhash64("id", F.lit(29)).alias("u")).orderBy("u", "id").limit(sample)
     rows = docs.where(learn).select(F.col(id_col).alias("id"), u.alias("u"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body")).join(F.broadcast(ids.select("id")), "id")
@@ -456,7 +468,9 @@ def fit_language_model(docs: DataFrame, learn: Column, id_col: str = "doc_id", t
         first = len(t) * 7919 % max(1, len(t) - SAMPLE_WORDS) if len(t) > SAMPLE_WORDS else 0
         part = t[first : first + SAMPLE_WORDS]
         own.append(np.append(inputs_of(listing.numbers(part), part), _END))
-    return train_on_all(train(listing, own, counts=counts), bodies)
+    model = train_on_all(train(listing, own, counts=counts), bodies)
+    model.counts = listed
+    return model
 
 
 _COUNT = np.dtype([("word", np.uint64), ("n", np.int64)])
@@ -652,7 +666,7 @@ def _added(batches):
 def score_language_model(docs: DataFrame, model: LanguageModel, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
-    ``learn``: which rows are counted, an expression over the id.
+    ``learn``: which rows the model was fitted to, an expression over the id.
     """
     spark = docs.sparkSession
     listing = model.listing
@@ -660,17 +674,7 @@ def score_language_model(docs: DataFrame, model: LanguageModel, learn: Column, i
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"), learn.alias("learns"))
     kind = dict(rows.dtypes)["id"]
 
-    def counts(batch):
-        total = np.zeros(len(listing.hashes) + 1)
-        batch = batch.filter(batch.column(1).fill_null(False))
-        for piece in grouped_by_bytes([batch], 0, BATCH_BYTES):
-            hashes, _ = tokens_of(*text_bytes(piece.column(0)))
-            numbers = listing.numbers(hashes)
-            total[:-1] += np.bincount(numbers[numbers >= 0], minlength=len(listing.hashes))
-            total[-1] += piece.num_rows
-        return total
-
-    count = partition_sums(rows.select("body", "learns"), counts, (len(listing.hashes) + 1,))
+    count = model.counts
     blobs = "part int, kind int, blob binary"
     asked = rows.mapInArrow(_unlisted(listing, n), blobs).repartitionById(n, F.col("part")).mapInArrow(_answered(n), blobs)
     answers = written(asked, "word-answers")
