@@ -67,7 +67,7 @@ REST_RATE, LANED = 0.002, 3 << 19
 AT_ONCE, SAFE = 2048, 60
 
 #: Bytes of text that a worker takes at a time; words that a task gathers before it deals them out.
-BATCH_BYTES, GATHERED = 2 << 20, 1 << 20
+BATCH_BYTES, GATHERED = 1 << 20, 1 << 20
 
 #: Tasks that merge the parts' most frequent words.
 MERGERS = 16
