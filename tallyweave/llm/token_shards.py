@@ -1,7 +1,9 @@
 """Training-order materialisation of token ids (operator 9).
 
-Texts become token ids and are cut into sequences of a fixed number of ids.  All
-sequences are counted, so each has a number; a keyed Feistel permutation with
+Texts become token ids.  The texts of a batch follow each other, each with an end
+after it, and are cut into sequences of a fixed number of ids, so a sequence may hold
+the end of one text and the beginning of the next, and only a batch's last sequence is
+filled up.  All sequences are counted, so each has a number; a keyed Feistel permutation with
 cycle-walking turns the number into the sequence's global slot, its place in
 training order.  Slots are dealt by ranges: each range is one shard file, in
 which every sequence takes the same number of bytes.  A reader finds slot s in
@@ -9,16 +11,16 @@ shard s // sequences-a-shard, and can begin or go on anywhere.
 
 The ids are those of a byte-level BPE vocabulary of ranks and the first number that
 it leaves free as the end, two bytes each (four where there are more ids than two
-bytes tell apart), little-endian; the end also fills up a text's last sequence.
+bytes tell apart), little-endian; the end also fills up a batch's last sequence.
 Without a vocabulary the ids are the text's UTF-8 bytes and END (255, which no UTF-8
 text holds), one byte each.  Texts are encoded once: the ids are written to the
 shared folder with each batch's place in its task, and are counted, numbered and
 dealt from there, however often a task runs and on whatever executors.  A manifest
 beside the shards tells their layout, so any process can read on from any slot.
 
-Defined results: a null text counts as empty; an empty text is one sequence of
-END; a text of any length is stored whole, in as many sequences as it takes.
-Repeated rows, and equal texts, each have their own sequences.  An empty table
+Defined results: a null text counts as empty; an empty text is an end alone; a text
+of any length is stored whole, in as many sequences as it takes.  Repeated rows, and
+equal texts, are each stored.  An empty table
 gives no rows and no shards.  Only the id and text columns are read, so other
 columns never clash.
 """
@@ -112,7 +114,7 @@ def encoded(rows: DataFrame, path: str | None, length: int) -> DataFrame:
             ends = pa.array(np.array([0, batch.num_rows], np.int32))
             lists = [pa.ListArray.from_arrays(ends, x) for x in (batch.column(0), pa.array(n))]
             data = codec().compress(ids.tobytes(), asbytes=True)
-            own = int(((n + length) // length).sum())
+            own = -(-(len(ids) + len(n)) // length)
             yield pa.RecordBatch.from_arrays([*lists, pa.array([data], pa.binary()), pa.array([own]), pa.array([task]), pa.array([before])], ["id", "n", "ids", "sequences", "task", "before"])
             before += own
 
@@ -144,18 +146,25 @@ class Order:
         return x.astype(np.int64)
 
 
-def sequences(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, end: int = END) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All sequences of texts, as rows of ids, with each one's text and number of ids (the end included)."""
-    size = np.diff(at) + 1
-    count = -(-size // length)
-    of = np.repeat(np.arange(len(size)), count)
-    part = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    ids = np.full((len(of), length), end, raw.dtype)
-    # Each text's rows are one run of memory.
-    flat, first = ids.reshape(-1), (np.cumsum(count) - count) * length
-    for a, b, to in zip(at[:-1].tolist(), at[1:].tolist(), first.tolist()):
-        flat[to : to + b - a] = raw[a:b]
-    return ids, of, np.minimum(length, size[of] - part * length)
+def sequences(raw: np.ndarray, n: np.ndarray, length: int = LENGTH, end: int = END) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All sequences of the texts of a batch, as rows of ids, and the texts' parts in them.
+
+    ``raw``: the ids of all texts, ``n``: how many each text has.  The parts come in
+    order: each one's text, its sequence, and its number of ids (the end included).
+    """
+    stops = np.cumsum(n + 1)
+    starts = stops - n - 1
+    total = int(stops[-1]) if len(stops) else 0
+    ids = np.full((-(-total // length), length), end, raw.dtype)
+    flat, at = ids.reshape(-1), np.cumsum(n) - n
+    for a, k, to in zip(at.tolist(), n.tolist(), starts.tolist()):
+        flat[to : to + k] = raw[a : a + k]
+    first = starts // length
+    count = (stops - 1) // length - first + 1
+    text = np.repeat(np.arange(len(n)), count)
+    sequence = np.arange(len(text)) - np.repeat(np.cumsum(count) - count - first, count)
+    size = np.minimum(stops[text], (sequence + 1) * length) - np.maximum(starts[text], sequence * length)
+    return ids, text, sequence, size
 
 
 @dataclass(frozen=True)
@@ -208,7 +217,7 @@ class Shards:
 
 
 def _write(shards: Shards):
-    """A task's shards from what all tasks have dealt out for them; a row for each sequence.
+    """A task's shards from what all tasks have dealt out for them; a row for each part of a text.
 
     A shard is of bounded size and is put together in memory.  The file is
     written under a name of its own and then renamed, so a task that is run
@@ -219,14 +228,14 @@ def _write(shards: Shards):
         first = shard * shards.each
         size = min(shards.each, shards.total - first)
         ids = np.empty((size, shards.length), shards.kind)
-        lists = [pa.concat_arrays([r.column(k).flatten() for r in rows]) for k in range(1, 5)]
-        places = np.asarray(lists[0]).astype(np.int64)
+        places, parts, names, part, size_of = (pa.concat_arrays([r.column(k).flatten() for r in rows]) for k in range(1, 6))
+        places, parts, size_of = np.asarray(places).astype(np.int64), np.asarray(parts), np.asarray(size_of)
         if len(places) != size or not np.array_equal(np.sort(places), np.arange(size)):
             raise RuntimeError(f"shard {shard} has {len(places)} sequences of {size}")
         at = 0
         for r in rows:
             n = len(r.column(1).flatten())
-            raw = codec().decompress(r.column(5)[0].as_buffer(), n * shards.stride)
+            raw = codec().decompress(r.column(6)[0].as_buffer(), n * shards.stride)
             ids[places[at : at + n]] = np.frombuffer(raw, shards.kind).reshape(n, shards.length)
             at += n
         fs, root = pafs.FileSystem.from_uri(shards.folder)
@@ -234,9 +243,13 @@ def _write(shards: Shards):
         with fs.open_output_stream(path) as out:
             out.write(memoryview(ids).cast("B"))
         fs.move(path, f"{root}/shard-{shard:06d}.bin")
-        sums = [zlib.crc32(ids[p]) for p in places]
-        columns = [lists[1], lists[2], lists[3], pa.array(places + first), pa.array(np.full(size, shard)), pa.array(places), pa.array(sums, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["id", "part", "n_ids", "slot", "shard", "place", "crc32"])
+        sums = np.array([zlib.crc32(ids[p]) for p in places.tolist()], np.int64)
+        # Parts follow each other in their sequence.
+        of, stops = np.repeat(np.arange(size), parts), np.cumsum(size_of)
+        starts = stops - size_of
+        starts = starts - starts[np.cumsum(parts) - parts][of]
+        columns = [names, part, pa.array(starts.astype(np.int32)), pa.array(size_of), pa.array(places[of] + first), pa.array(np.full(len(of), shard)), pa.array(places[of]), pa.array(sums[of])]
+        return pa.RecordBatch.from_arrays(columns, ["id", "part", "start", "n_ids", "slot", "shard", "place", "crc32"])
 
     def run(batches):
         now, rows = None, []
@@ -254,12 +267,13 @@ def _write(shards: Shards):
 
 
 def materialise(docs: DataFrame, folder: str, key: int, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES, path: str | None = None) -> tuple[DataFrame, Shards]:
-    """A row for each sequence, which writes the shards when it is run, and their layout.
+    """A row for each part of a text in a sequence, which writes the shards when it is run, and their layout.
 
     ``path``: a file of ranks, present on every executor; bytes are the ids if left out.
 
-    Rows: ``id_col``, ``part`` (of the text), ``n_ids``, ``slot``, ``shard``,
-    ``place`` (in the shard) and ``crc32`` of the stored ids.
+    Rows: ``id_col``, ``part`` (of the text, from 0 on), ``start`` (in the sequence),
+    ``n_ids``, ``slot``, ``shard``, ``place`` (in the shard) and ``crc32`` of the
+    stored sequence.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
@@ -276,51 +290,56 @@ def materialise(docs: DataFrame, folder: str, key: int, id_col: str = "doc_id",
     shards = Shards(folder, length, total, max(1, shard_bytes // stride, -(-total // SHARDS)), id_kind, end, key)
     shards.declare()
 
-    def gathered(batches):
-        """Sequences' numbers, texts' ids, token ids of all texts, and where each text's begin; of several rows at once."""
-        held, size = [], 0
+    def cut(batches):
+        """Of each row: its sequences' slots and ids, parts in each, and the parts' texts, numbers and sizes."""
         for batch in batches:
             for k in range(batch.num_rows):
                 n = np.asarray(batch.column(1).slice(k, 1).flatten())
                 raw = codec().decompress(batch.column(2)[k].as_buffer(), int(n.sum()) * np.dtype(id_kind).itemsize) if n.sum() else b""
+                ids, text, sequence, size = sequences(np.frombuffer(raw, id_kind), n, length, end)
                 begin = int(first.value[batch.column(4)[k].as_py()]) + batch.column(5)[k].as_py()
-                numbers = np.arange(begin, begin + batch.column(3)[k].as_py(), dtype=np.uint64)
-                held.append((numbers, batch.column(0).slice(k, 1).flatten(), np.frombuffer(raw, id_kind), n))
-                size += int(n.sum())
-                if size >= GATHERED:
-                    yield whole(held)
-                    held, size = [], 0
-        if held:
-            yield whole(held)
-
-    def whole(held):
-        numbers, names, raw, n = zip(*held)
-        return np.concatenate(numbers), pa.concat_arrays(names), np.concatenate(raw), np.cumsum(np.append(0, np.concatenate(n)))
+                slots = order.slots(np.arange(begin, begin + len(ids), dtype=np.uint64))
+                part = np.arange(len(text)) - np.searchsorted(text, text)
+                yield slots, ids, np.bincount(sequence, minlength=len(ids)), batch.column(0).slice(k, 1).flatten().take(pa.array(text)), part, size
+
+    def deal(held):
+        slots, ids, parts, names, part, size = zip(*held)
+        slots, ids, parts, part, size = (np.concatenate(x) for x in (slots, ids, parts, part, size))
+        names = pa.concat_arrays(names)
+        # What goes to one shard goes together, for there it compresses.
+        shard, place = np.divmod(slots, shards.each)
+        by = np.argsort(shard, kind="stable")
+        found, begin = np.unique(shard[by], return_index=True)
+        # The parts of the sequences, in the same order.
+        stops = np.cumsum(parts)
+        count = parts[by]
+        parts_by = np.repeat((stops - parts)[by] - (np.cumsum(count) - count), count) + np.arange(len(part))
+        ends = np.append(begin, len(by))
+        part_ends = np.append(0, np.cumsum(count))[ends]
+        lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x[by].astype(np.int32))) for x in (place, parts)]
+        lists += [pa.ListArray.from_arrays(pa.array(part_ends.astype(np.int32)), x) for x in (names.take(pa.array(parts_by)), *(pa.array(x[parts_by].astype(np.int32)) for x in (part, size)))]
+        data = [codec().compress(ids[own].tobytes(), asbytes=True) for own in np.split(by, begin[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *lists, pa.array(data, pa.binary())], ["shard", "place", "parts", "id", "part", "n_ids", "ids"])
 
     def run(batches):
-        for numbers, names, raw, starts in gathered(batches):
-            ids, of, n = sequences(raw, starts, length, end)
-            slots = order.slots(numbers)
-            part = np.arange(len(of)) - np.searchsorted(of, of)
-            # What goes to one shard goes together, for there it compresses.
-            shard, place = np.divmod(slots, shards.each)
-            by = np.argsort(shard, kind="stable")
-            found, begin = np.unique(shard[by], return_index=True)
-            ends = pa.array(np.append(begin, len(by)).astype(np.int32))
-            take = pa.array(by)
-            lists = [x.take(take) for x in (pa.array(place.astype(np.int32)), names.take(pa.array(of)), pa.array(part.astype(np.int32)), pa.array(n.astype(np.int32)))]
-            data = [codec().compress(ids[own].tobytes(), asbytes=True) for own in np.split(by, begin[1:])]
-            columns = [pa.array(found.astype(np.int32)), *[pa.ListArray.from_arrays(ends, x) for x in lists], pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "place", "id", "part", "n_ids", "ids"])
-
-    cut = rows.mapInArrow(run, f"shard int, place array<int>, id array<{kind}>, part array<int>, n_ids array<int>, ids binary")
-    dealt = cut.repartitionById(max(1, -(-total // shards.each)), F.col("shard"))
-    out = dealt.mapInArrow(_write(shards), f"id {kind}, part int, n_ids int, slot long, shard long, place long, crc32 long")
+        held, total_ids = [], 0
+        for own in cut(batches):
+            held.append(own)
+            total_ids += own[1].size
+            if total_ids >= GATHERED:
+                yield deal(held)
+                held, total_ids = [], 0
+        if held:
+            yield deal(held)
+
+    pieces = rows.mapInArrow(run, f"shard int, place array<int>, parts array<int>, id array<{kind}>, part array<int>, n_ids array<int>, ids binary")
+    dealt = pieces.repartitionById(max(1, -(-total // shards.each)), F.col("shard"))
+    out = dealt.mapInArrow(_write(shards), f"id {kind}, part int, start int, n_ids int, slot long, shard long, place long, crc32 long")
     return out.withColumnRenamed("id", id_col), shards
 
 
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sequence of all documents with its place in training order; the shards lie in the shared folder."""
+    """Every part of all documents with its place in training order; the shards lie in the shared folder."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return materialise(docs, f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}", KEY, path=default_path())[0]
 

