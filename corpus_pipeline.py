@@ -46,8 +46,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All columns, and the number of tokens and digests of the ids and of the text decoded from them."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("body"))
-    out = bpe.bpe_encode_decode(rows, bpe.default_path(), "row", "body")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = bpe.bpe_encode_decode(rows, bpe.default_path(), "row", "text", within=True)
     return out.select("row", *bpe.digests()).select("row.*", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

@@ -193,18 +193,21 @@ def codec(path: str) -> ForcedBoundaryBPE:
     return ForcedBoundaryBPE(path)
 
 
-def bpe_encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True) -> DataFrame:
+def bpe_encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True, within: bool = False) -> DataFrame:
     """``id_col``, ``ids`` array<int> and, unless left out, ``decoded`` string of every row.
 
-    ``path``: the tokenizer file, present on every executor.
+    ``path``: the tokenizer file, present on every executor.  ``within``: ``text_col``
+    is a string field of ``id_col``, a struct, and goes to the workers once, in it.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
+    rows = df.select(F.col(id_col).alias("id"), *[F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body")] * (not within))
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * decoded)
 
     def run(batches):
         own = codec(path)
+        if within:
+            batches = (pa.RecordBatch.from_arrays([b.column(0), b.column(0).field(text_col)], ["id", "body"]) for b in batches)
         for batch in grouped_by_bytes(batches, 1, BATCH_BYTES):
-            ids = [own.encode(t) for t in batch.column(1).to_pylist()]
+            ids = [own.encode(t or "") for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
             columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import grouped_by_bytes, spread, table, text_bytes, written
+from .common import grouped_by_bytes, release, spread, table, text_bytes, written
 from .components import components
 from .hashing import mix
 from .shingles import PERCENT, bitmaps, enough, folded, overlap_bound, segment_keys, set_keys, sets_of
@@ -144,6 +144,7 @@ def _tiles(batches):
             none = pa.nulls(len(rows), pa.int64())
             columns = [pa.array(np.ascontiguousarray(rows[:, k])) for k in range(3)]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), id_type), none, none, pa.nulls(len(rows), pa.binary()), *columns], names)
+    release()
 
 
 def _tokenised(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -275,6 +276,7 @@ def _connected(batches):
         connect()
     if forest.above:
         yield forest.edges()
+    release()
 
 
 def _blocks_connected(sets: DataFrame, dealt: DataFrame) -> DataFrame:

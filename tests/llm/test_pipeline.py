@@ -88,3 +88,18 @@ def test_stages_equal_brute_force(spark, sf_dir):
         ids = library.encode(before[i]["text"], add_special_tokens=False).ids
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_text_goes_once(spark, odd):
+    """The last stage sends each text to its workers once, in its row, and gives what it gave with a second copy."""
+    from pyspark.sql import functions as F
+
+    from tallyweave.llm import bpe
+
+    out = corpus_pipeline.encoded(spark, odd, "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    (sent,) = [line for line in plan.splitlines() if "MapInArrow" in line]
+    assert "body" not in sent
+    rows = odd.select(F.struct(*odd.columns).alias("row"), "text")
+    apart = bpe.bpe_encode_decode(rows, bpe.default_path(), "row", "text").select("row", *bpe.digests()).select("row.*", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert sorted(map(str, out.collect())) == sorted(map(str, apart.collect()))
