@@ -165,3 +165,19 @@ def test_all_training_documents_are_learned_from(spark):
 def text_of(word):
     raw = np.frombuffer(word.encode(), np.uint8)
     return raw, np.array([0, len(raw)])
+
+
+def test_states_lie_row_by_row(monkeypatch):
+    """Scores pick whole states, not single numbers all over the window, and are the same for either layout."""
+    model = M.train(M.Listing.of(np.zeros(0, np.uint64)), [np.array([1, 2, M._END]), np.array([3, M._END])], updates=2)
+    plain, seen = M.LanguageModel.token_scores, []
+
+    def watched(self, states, targets, safe=False):
+        seen.append(states.T.flags.c_contiguous)
+        out = plain(self, states, targets, safe)
+        assert np.allclose(out, plain(self, np.ascontiguousarray(states), targets, safe), atol=1e-5)
+        return out
+
+    monkeypatch.setattr(M.LanguageModel, "token_scores", watched)
+    model.documents(np.array([1, 2, M._END, 3, 4, M._END]), np.array([0, 3, 6]))
+    assert seen and all(seen)
